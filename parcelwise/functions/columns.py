@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
+NUDGE = 3.3e-4
+
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -51,8 +53,10 @@ def presentable(df: DataFrame, digits: int | dict[str, int] = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            # adding 0 turns -0.0 into 0.0
-            c = F.round(c.cast("double"), places.get(f.name, default)) + F.lit(0.0).cast("double")
+            n = places.get(f.name, default)
+            # the nudge rounds exact halves the same way in every engine; adding 0 turns -0.0 into 0.0
+            nudge = F.lit(NUDGE * 10.0**-n)
+            c = F.round(c.cast("double") + nudge, n) + F.lit(0.0).cast("double")
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):

@@ -16,17 +16,20 @@ def fetch_small(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
     return rows if len(rows) <= limit else None
 
 
+def localized(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """The same table, computed once and marked for broadcast if it proves to be small, unchanged otherwise."""
+    rows = fetch_small(df, limit)
+    return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema).coalesce(1))
+
+
 def attach_small(df: DataFrame, small: DataFrame, keys: Sequence[str], limit: int = SMALL_ROWS) -> DataFrame:
     """Inner join on keys: broadcast when ``small`` proves to be small, a shuffle join otherwise.
 
-    The small table is computed once, here, so its own scan is not repeated inside the join.
+    The small table is computed once, here, so its own scan is not repeated inside the join. Without keys it must be
+    the one row of a global aggregate.
     """
-    keys = list(keys)
-    rows = fetch_small(small, limit)
-    if rows is None:
-        return df.join(small, keys)
-    local = F.broadcast(df.sparkSession.createDataFrame(rows, small.schema).coalesce(1))
-    return df.join(local, keys) if keys else df.join(local, F.lit(True))
+    small = localized(small, limit)
+    return df.join(small, list(keys)) if keys else df.join(small, F.lit(True))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -12,8 +12,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelwise.functions.parallel import side_by_side
+from parcelwise.functions.small import checkpointed
 from parcelwise.operators.features import standardized
 
+# the table of cells is small next to the rows; a fixed number of sorted partitions makes fits repeatable
+FIT_PARTITIONS = 4
 MEASURES = ("late_risk_rate", "avg_scheduled_days", "avg_sales", "order_volume")
 
 
@@ -29,7 +33,11 @@ def _assembled(features: DataFrame, measures: Sequence[str]) -> DataFrame:
 
 def best_kmeans(points: DataFrame, k: int, restarts: int = 10, seed: int = 42):
     """The fit of least cost over several starts."""
-    fits = [KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4, featuresCol="features").fit(points) for i in range(restarts)]
+
+    def start(i: int):
+        return lambda: KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4, featuresCol="features").fit(points)
+
+    fits = side_by_side(points.sparkSession, [start(i) for i in range(restarts)])
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
@@ -42,8 +50,11 @@ def kmeans_assignment(
     seed: int = 42,
 ) -> DataFrame:
     """Cells with their cluster. Clusters are numbered by their mean of the first measure, so numbers are stable."""
-    points = _assembled(cell_features(cells, keys, measures), measures).repartition(1).sortWithinPartitions(*keys).persist()
+    cells = checkpointed(cells)
+    points = _assembled(cell_features(cells, keys, measures), measures).repartition(FIT_PARTITIONS, *keys)
+    points = points.sortWithinPartitions(*keys).persist()
     try:
+        points.count()
         model = best_kmeans(points, k, restarts, seed)
     finally:
         points.unpersist()
@@ -71,9 +82,15 @@ def elbow(
     restarts: int = 3,
 ) -> DataFrame:
     """Cost of the best fit for each number of clusters."""
-    points = _assembled(cell_features(cells, keys, measures), measures).repartition(1).sortWithinPartitions(*keys).persist()
+    points = _assembled(cell_features(cells, keys, measures), measures).repartition(FIT_PARTITIONS, *keys)
+    points = points.sortWithinPartitions(*keys).persist()
     try:
-        costs = [(k, float(best_kmeans(points, k, restarts).summary.trainingCost)) for k in ks]
+
+        def cost(k: int):
+            return lambda: (k, float(best_kmeans(points, k, restarts).summary.trainingCost))
+
+        points.count()
+        costs = side_by_side(cells.sparkSession, [cost(k) for k in ks], 3)
     finally:
         points.unpersist()
     return cells.sparkSession.createDataFrame(costs, "k int, cost double")
@@ -97,6 +114,7 @@ def silhouette(
         F.col(cluster).alias("_c"),
         F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"),
     )
+    points = checkpointed(points)
     n = points.count()
     blocks = max(1, math.ceil(n / block_rows))
     dealt = points.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelwise.functions.columns import all_present, ratio, when_count
-from parcelwise.functions.small import attach_small
+from parcelwise.functions.small import attach_small, checkpointed
 from parcelwise.operators.crosstab import filled
 from parcelwise.operators.prefix import running_totals
 from parcelwise.operators.split import stratified_split
@@ -27,7 +27,8 @@ def cell_rate_scores(
     carry: tuple[str, ...] = ("profit_ratio",),
 ) -> DataFrame:
     """A scorer without a fitting library: p is the training rate of the row's cell. Test rows only."""
-    parts = stratified_split(df.select(key, label, *cell, *carry), label, key)
+    # the split, the rates and the scores read the same few columns: derive them once
+    parts = stratified_split(checkpointed(df.select(key, label, *cell, *carry)), label, key)
     rates = parts.where("split = 'train'").where(all_present(*cell)).groupBy(*cell).agg(F.avg(label).alias("p"))
     test = attach_small(parts.where("split = 'test'"), rates, cell)
     return test.select(key, F.lit("cell_rate").alias("model"), F.col(label).alias("y"), "p", *carry)

@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelwise.functions.small import checkpointed
 from parcelwise.operators.features import Design, category_levels, fit_scaler
 from parcelwise.operators.knn import knn_scores
 from parcelwise.operators.split import stratified_split
@@ -43,6 +44,12 @@ class Prepared:
     label: str
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """At least one partition per core: fits run many rounds over rows that may have come from a single file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 @contextmanager
 def prepared(
     df: DataFrame,
@@ -57,6 +64,8 @@ def prepared(
 
     ``train`` and ``test`` have the key, ``y``, the carried columns, ``raw`` and ``features`` (scaled).
     """
+    # levels, cuts and vectors all read these rows: join and derive them once
+    df = checkpointed(spread(df, key))
     categories = [c for c in categories if c in df.columns]
     keep = list(dict.fromkeys([key, label, "split", *carry]))
     design = Design(numeric, category_levels(df, categories), interactions, keep)
@@ -80,7 +89,7 @@ def logistic_regression(n_train: int, features: str = "features", max_iter: int
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-8,
+        tol=1e-7,
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions.columns import numeric_columns
+from parcelwise.functions.small import checkpointed
 from parcelwise.operators import (
     cleaning,
     clusters,
@@ -216,7 +217,7 @@ def _kmeans(df: DataFrame) -> DataFrame:
 
 
 def _silhouette(df: DataFrame) -> DataFrame:
-    cells = rates.cells(df)
+    cells = checkpointed(rates.cells(df))
     assigned = clusters.kmeans_assignment(cells, CELL_KEYS).select(*CELL_KEYS, "cluster")
     points = clusters.cell_features(cells, CELL_KEYS).join(assigned, list(CELL_KEYS))
     return clusters.silhouette(points, clusters.MEASURES, CELL_KEYS)
@@ -224,7 +225,7 @@ def _silhouette(df: DataFrame) -> DataFrame:
 
 def _silhouette_by_rule(df: DataFrame) -> DataFrame:
     """Silhouette of a fixed grouping of the cells, late cells against the others, instead of fitted clusters."""
-    cells = rates.cells(df)
+    cells = checkpointed(rates.cells(df))
     rule = cells.select(*CELL_KEYS, F.when(F.col("late_risk_rate") >= F.lit(0.42).cast("double"), 1).otherwise(0).alias("cluster"))
     points = clusters.cell_features(cells, CELL_KEYS).join(rule, list(CELL_KEYS))
     return clusters.silhouette(points, clusters.MEASURES, CELL_KEYS)
@@ -388,9 +389,9 @@ ANALYSES: dict[str, Analysis] = {
     "standardize": Analysis(_standardized, ("line_id", L, *MEASURES, "order_ts")),
     "pca_scree": Analysis(_scree, ("line_id", L, *MEASURES, "order_ts")),
     "pca_projection": Analysis(_pca_projection, ("line_id", L, *MEASURES, "order_ts")),
-    "stratified_split": Analysis(split.stratified_split, ("line_id", L)),
-    "stratified_subsample": Analysis(split.stratified_subsample, ("line_id", L)),
-    "stratified_folds": Analysis(split.stratified_folds, ("line_id", L)),
+    "stratified_split": Analysis(lambda df: split.stratified_split(checkpointed(df)), ("line_id", L)),
+    "stratified_subsample": Analysis(lambda df: split.stratified_subsample(checkpointed(df)), ("line_id", L)),
+    "stratified_folds": Analysis(lambda df: split.stratified_folds(checkpointed(df)), ("line_id", L)),
     # evaluation, on a scorer any engine can compute
     "cell_rate_scores": _on_scores(lambda s: s),
     "confusion_matrix": _on_scores(evaluate.confusion_matrix),
@@ -418,7 +419,7 @@ ANALYSES: dict[str, Analysis] = {
     # clusters
     "kmeans_assignment": Analysis(_kmeans, CELL_USES),
     "kmeans_summary": Analysis(lambda df: clusters.cluster_summary(_kmeans(df)), CELL_USES),
-    "kmeans_elbow": Analysis(lambda df: clusters.elbow(rates.cells(df), CELL_KEYS), CELL_USES),
+    "kmeans_elbow": Analysis(lambda df: clusters.elbow(checkpointed(rates.cells(df)), CELL_KEYS), CELL_USES),
     "kmeans_scatter": Analysis(lambda df: clusters.scatter_series(_kmeans(df)), CELL_USES),
     "silhouette_values": Analysis(_silhouette, CELL_USES),
     "silhouette_mean": Analysis(lambda df: clusters.mean_silhouette(_silhouette(df)), CELL_USES),

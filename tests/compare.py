@@ -1,0 +1,45 @@
+"""Runs registered queries next to their SQL and reports where they differ."""
+
+from __future__ import annotations
+
+import math
+
+import pandas as pd
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def duck(path: str):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}/{t}.parquet')")
+    return con
+
+
+def _cell(v):
+    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        return None
+    if hasattr(v, "item"):
+        v = v.item()
+    if isinstance(v, float) and v == int(v) and abs(v) < 1e15:
+        return int(v)
+    return v
+
+
+def rows(pdf: pd.DataFrame) -> list[tuple]:
+    pdf = pdf[sorted(pdf.columns)]
+    out = [tuple(_cell(v) for v in row) for row in pdf.itertuples(index=False, name=None)]
+    return sorted(out, key=lambda t: tuple((v is None, str(type(v)), v if v is not None else 0) for v in t))
+
+
+def difference(spark_pdf: pd.DataFrame, sql_pdf: pd.DataFrame) -> str | None:
+    """None if both hold the same rows, otherwise what differs first."""
+    if sorted(spark_pdf.columns) != sorted(sql_pdf.columns):
+        return f"columns {sorted(spark_pdf.columns)} / {sorted(sql_pdf.columns)}"
+    if len(spark_pdf) != len(sql_pdf):
+        return f"rows {len(spark_pdf)} / {len(sql_pdf)}"
+    a, b = rows(spark_pdf), rows(sql_pdf)
+    wrong = [(x, y) for x, y in zip(a, b) if x != y]
+    return f"{len(wrong)} of {len(a)} rows, first {wrong[0]}" if wrong else None
