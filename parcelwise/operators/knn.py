@@ -21,6 +21,7 @@ from parcelwise.functions.small import attach_small, checkpointed, fetch_small
 
 BLOCK_ROWS = 4_000
 MAX_CELLS = 4_000
+QUERY_ROWS = 256
 CANDIDATES = "q string, id string, d double, label double"
 
 
@@ -33,25 +34,29 @@ def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) ->
     k = min(k, len(points))
     reserve = min(len(points), k + 8)
     norms = (points**2).sum(axis=1)
-    rough = (queries**2).sum(axis=1)[:, None] + norms[None, :] - 2.0 * queries @ points.T
-    if reserve < len(points):
-        candidates = np.argpartition(rough, reserve - 1, axis=1)[:, :reserve]
-    else:
-        candidates = np.broadcast_to(np.arange(len(points)), (len(queries), len(points)))
-    slack = 1e-9 * (1.0 + norms.max() + (queries**2).sum(axis=1).max())
     order_of_id = np.empty(len(ids), dtype=np.int64)
     order_of_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
     chosen = np.empty((len(queries), k), dtype=np.int64)
     distances = np.empty((len(queries), k))
-    for i, query in enumerate(queries):
-        c = candidates[i]
-        d = np.round(((points[c] - query) ** 2).sum(axis=1), 9)
-        best = np.lexsort((order_of_id[c], d))[:k]
-        if reserve < len(points) and rough[i, c].max() <= d[best[-1]] + slack:
-            c = np.arange(len(points))
-            d = np.round(((points - query) ** 2).sum(axis=1), 9)
-            best = np.lexsort((order_of_id, d))[:k]
-        chosen[i], distances[i] = c[best], d[best]
+    for start in range(0, len(queries), QUERY_ROWS):
+        q = queries[start : start + QUERY_ROWS]
+        lengths = (q**2).sum(axis=1)
+        rough = lengths[:, None] + norms[None, :] - 2.0 * q @ points.T
+        if reserve < len(points):
+            candidates = np.argpartition(rough, reserve - 1, axis=1)[:, :reserve]
+        else:
+            candidates = np.broadcast_to(np.arange(len(points)), rough.shape)
+        d = np.round(((points[candidates] - q[:, None, :]) ** 2).sum(axis=2), 9)
+        best = np.lexsort((order_of_id[candidates], d), axis=-1)[:, :k]
+        chosen[start : start + QUERY_ROWS] = np.take_along_axis(candidates, best, axis=1)
+        distances[start : start + QUERY_ROWS] = np.take_along_axis(d, best, axis=1)
+        if reserve < len(points):
+            slack = 1e-9 * (1.0 + norms.max() + lengths.max())
+            farthest = np.take_along_axis(rough, candidates, axis=1).max(axis=1)
+            for i in np.flatnonzero(farthest <= distances[start : start + QUERY_ROWS, -1] + slack):
+                every = np.round(((points - q[i]) ** 2).sum(axis=1), 9)
+                all_best = np.lexsort((order_of_id, every))[:k]
+                chosen[start + i], distances[start + i] = all_best, every[all_best]
     return chosen, distances
 
 
@@ -85,7 +90,9 @@ def _search(queries: DataFrame, points: DataFrame, k: int, block_rows: int, max_
     q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     p = attach_small(points, asking, ["cell"], max_cells)
     p = p.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    left = q.select("cell", "block", "turn", "q", "x").groupBy("cell", "block", "turn")
+    # fresh columns: queries may come from the points themselves
+    asked = q.select(*[F.col(c).alias(c) for c in ("cell", "block", "turn", "q", "x")])
+    left = asked.groupBy("cell", "block", "turn")
     right = p.select("cell", "block", "turn", "id", "x", "label").groupBy("cell", "block", "turn")
     return left.cogroup(right).applyInPandas(_compare(k), CANDIDATES)
 
@@ -95,6 +102,20 @@ def _best(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
+def _boxes(batches):
+    """Bounding box of each cell: ``(cell, low, high)`` over rows or smaller boxes."""
+    boxes: dict = {}
+    for pdf in batches:
+        for cell, index in pdf.groupby("cell").indices.items():
+            low = np.stack(pdf["low"].to_numpy()[index]).min(axis=0)
+            high = np.stack(pdf["high"].to_numpy()[index]).max(axis=0)
+            if cell in boxes:
+                low, high = np.minimum(low, boxes[cell][0]), np.maximum(high, boxes[cell][1])
+            boxes[cell] = (low, high)
+    for cell, (low, high) in boxes.items():
+        yield pd.DataFrame({"cell": [cell], "low": [low], "high": [high]})
+
+
 def neighbours(
     points: DataFrame, queries: DataFrame, k: int = 15, block_rows: int = BLOCK_ROWS, max_cells: int = MAX_CELLS
 ) -> DataFrame:
@@ -116,23 +137,22 @@ def neighbours(
     home = checkpointed(_best(_search(queries, points, k, block_rows, max_cells), k))
     reach = home.groupBy("q").agg(F.when(F.count("*") == k, F.max("d")).alias("reach"))
 
-    first = points.select(F.size("x").alias("s")).first()
-    width = first["s"] if first else 0
-    boxes = points.groupBy("cell").agg(
-        F.array(*[F.min(F.get("x", F.lit(i))) for i in range(width)]).alias("low"),
-        F.array(*[F.max(F.get("x", F.lit(i))) for i in range(width)]).alias("high"),
-    )
+    # per task one box for each cell it meets, then the same again with a cell's boxes in one task
+    ends = points.select("cell", F.col("x").alias("low"), F.col("x").alias("high"))
+    shape = "cell string, low array<double>, high array<double>"
+    boxes = ends.mapInPandas(_boxes, shape).repartition("cell").mapInPandas(_boxes, shape)
     # at most max_cells rows
     rows = boxes.orderBy("cell").collect()
     names = np.array([r["cell"] for r in rows], dtype=object)
-    low = np.array([r["low"] for r in rows], dtype=float).reshape(len(rows), width)
-    high = np.array([r["high"] for r in rows], dtype=float).reshape(len(rows), width)
+    low, high = np.array([r["low"] for r in rows]), np.array([r["high"] for r in rows])
     shared = points.sparkSession.sparkContext.broadcast((names, low, high))
 
     def visits(batches):
         names, low, high = shared.value
         for pdf in batches:
-            x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.empty((0, low.shape[1]))
+            if not len(pdf) or not len(names):
+                continue
+            x = np.stack(pdf["x"].to_numpy())
             limit = pdf["reach"].fillna(np.inf).to_numpy()
             limit = limit + 1e-9 * (1.0 + np.where(np.isfinite(limit), limit, 0.0))
             own = pdf["cell"].to_numpy()

@@ -44,10 +44,16 @@ class Prepared:
     label: str
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """At least one partition per core: fits run many rounds over rows that may have come from a single file."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+ROWS_PER_TASK = 25_000
+
+
+def spread(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """Enough partitions for all cores, if there are rows enough to make tasks worth it.
+
+    Fits run many rounds over rows that may have come from a single file; a table with more partitions is left alone.
+    """
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
 
 
 @contextmanager
@@ -65,7 +71,8 @@ def prepared(
     ``train`` and ``test`` have the key, ``y``, the carried columns, ``raw`` and ``features`` (scaled).
     """
     # levels, cuts and vectors all read these rows: join and derive them once
-    df = checkpointed(spread(df, key))
+    df = checkpointed(df)
+    df = spread(df, df.count(), key)
     categories = [c for c in categories if c in df.columns]
     keep = list(dict.fromkeys([key, label, "split", *carry]))
     design = Design(numeric, category_levels(df, categories), interactions, keep)
