@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions.columns import all_present, when_count
-from parcelwise.functions.small import attach_small
+from parcelwise.functions.small import attach_small, checkpointed
 from parcelwise.operators.crosstab import filled
 from parcelwise.operators.quantiles import exact_quantiles, quartiles
 from parcelwise.operators.split import hash_cuts, within_cut
@@ -82,7 +82,8 @@ def box_stats(df: DataFrame, column: str, by: Sequence[str], reach: float = 1.5)
 
 def describe_by(df: DataFrame, columns: Sequence[str], by: str = "late_risk") -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles of each numeric column per class."""
-    rows = df.where(all_present(by)).select(by, *[F.col(c).cast("double").alias(c) for c in columns])
+    # moments, sketches and quantiles each read these columns: derive them once
+    rows = checkpointed(df.where(all_present(by)).select(by, *[F.col(c).cast("double").alias(c) for c in columns]))
     moments = rows.groupBy(by).agg(
         *[
             F.struct(

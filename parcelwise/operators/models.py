@@ -48,12 +48,16 @@ ROWS_PER_TASK = 25_000
 
 
 def spread(df: DataFrame, rows: int, key: str) -> DataFrame:
-    """Enough partitions for all cores, if there are rows enough to make tasks worth it.
+    """Enough partitions for all cores, but no more than there are rows to make tasks worth it.
 
-    Fits run many rounds over rows that may have come from a single file; a table with more partitions is left alone.
+    Fits run many rounds, each with a task per partition. Takes a checkpointed table; one with more partitions than
+    cores is left alone.
     """
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    wanted, pieces = min(cores, -(-rows // ROWS_PER_TASK)), df.rdd.getNumPartitions()
+    if pieces < wanted:
+        return df.repartition(wanted, key)
+    return df.coalesce(wanted) if pieces <= cores else df
 
 
 @contextmanager

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from parcelwise.functions.columns import all_present, hash_text
 from parcelwise.functions.small import fetch_small
 
-LEAF_ROWS = 1_000_000
+LEAF_ROWS = 100_000
 PREFIX_STEP = 3
-MAX_STRATA = 1_000
+MAX_STRATA = 100
 
 
 class Cut(NamedTuple):
@@ -48,53 +48,58 @@ def hash_cuts(
         F.col(key).cast("string").alias("_k"),
         hash_text(key, seed).alias("_h"),
     )
-    sizes = fetch_small(rows.groupBy("_s").agg(F.count("*").alias("n")), MAX_STRATA)
-    if sizes is None:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-
-    cuts: dict = {r["_s"]: [Cut(None, None)] * len(ranks(r["n"])) for r in sizes}
-    # open questions: (stratum, hash prefix) -> rows under that prefix and [(position in the answer, rank under it)]
-    open_parts = {}
-    for r in sizes:
-        wanted = [(i, rank) for i, rank in enumerate(ranks(r["n"])) if rank > 0]
-        if wanted:
-            open_parts[(r["_s"], "")] = (r["n"], wanted)
+    fan_out = 16**PREFIX_STEP
 
     def is_part(s, prefix: str) -> Column:
         return F.col("_s").eqNullSafe(F.lit(s)) & F.col("_h").startswith(prefix)
 
-    while any(n > leaf_rows for n, _ in open_parts.values()):
-        depth = max(len(prefix) for _, prefix in open_parts) + PREFIX_STEP
-        here = reduce(lambda a, b: a | b, (is_part(s, p) for s, p in open_parts))
-        # at most 16 ** PREFIX_STEP rows per open part
-        found = rows.where(here).groupBy("_s", F.substring("_h", 1, depth).alias("p")).agg(F.count("*").alias("n"))
+    def counts(part_rows: DataFrame, depth: int, parts: int) -> dict:
+        """Rows per hash prefix of this depth, in order, by the prefix one step shorter."""
+        prefix = F.substring("_h", 1, depth).alias("p")
+        found = fetch_small(part_rows.groupBy("_s", prefix).agg(F.count("*").alias("n")), parts * fan_out)
+        if found is None:
+            raise ValueError(f"more than {MAX_STRATA} strata")
         by_part: dict = {}
-        for r in found.collect():
+        for r in sorted(found, key=lambda r: r["p"]):
             by_part.setdefault((r["_s"], r["p"][: depth - PREFIX_STEP]), []).append((r["p"], r["n"]))
-        narrowed: dict = {}
-        for part, (_, wanted) in open_parts.items():
-            passed = 0
-            pending = sorted(wanted, key=lambda w: w[1])
-            for prefix, n in sorted(by_part[part]):
+        return by_part
+
+    def narrowed(by_part: dict, asked: dict) -> dict:
+        """For every prefix that holds an asked rank: its rows and the (answer position, rank under it) pairs."""
+        out: dict = {}
+        for part, wanted in asked.items():
+            passed, pending = 0, sorted(wanted, key=lambda w: w[1])
+            for prefix, n in by_part[part]:
                 while pending and pending[0][1] <= passed + n:
                     i, rank = pending.pop(0)
-                    narrowed.setdefault((part[0], prefix), (n, []))[1].append((i, rank - passed))
+                    out.setdefault((part[0], prefix), (n, []))[1].append((i, rank - passed))
                 passed += n
-        open_parts = narrowed
+        return out
+
+    first = counts(rows, PREFIX_STEP, MAX_STRATA)
+    sizes = {s: sum(n for _, n in prefixes) for (s, _), prefixes in first.items()}
+    cuts: dict = {s: [Cut(None, None)] * len(ranks(n)) for s, n in sizes.items()}
+    asked = {(s, ""): [(i, rank) for i, rank in enumerate(ranks(n)) if rank > 0] for s, n in sizes.items()}
+    open_parts = narrowed(first, asked)
+    while any(n > leaf_rows for n, _ in open_parts.values()):
+        depth = max(len(prefix) for _, prefix in open_parts) + PREFIX_STEP
+        here = reduce(lambda a, b: a | b, (is_part(s, p) for s, p in open_parts))
+        by_part = counts(rows.where(here), depth, len(open_parts))
+        open_parts = narrowed(by_part, {part: wanted for part, (_, wanted) in open_parts.items()})
 
     if open_parts:
         here = reduce(lambda a, b: a | b, (is_part(s, p) for s, p in open_parts))
         depth = max(len(prefix) for _, prefix in open_parts)
         position = F.row_number().over(W.partitionBy("_s", "_p").orderBy("_h", "_k"))
         ranked = rows.where(here).withColumn("_p", F.substring("_h", 1, depth)).withColumn("_rank", position)
-        asked = reduce(
+        at_ranks = reduce(
             lambda a, b: a | b,
             (
                 is_part(s, p) & F.col("_rank").isin(sorted({rank for _, rank in wanted}))
                 for (s, p), (_, wanted) in open_parts.items()
             ),
         )
-        answers = {(r["_s"], r["_p"], r["_rank"]): Cut(r["_h"], r["_k"]) for r in ranked.where(asked).collect()}
+        answers = {(r["_s"], r["_p"], r["_rank"]): Cut(r["_h"], r["_k"]) for r in ranked.where(at_ranks).collect()}
         for (s, p), (_, wanted) in open_parts.items():
             for i, rank in wanted:
                 cuts[s][i] = answers[(s, p, rank)]

@@ -102,6 +102,15 @@ def order_line_columns() -> list[str]:
     return list(_definitions())
 
 
+def dealt_out(scan: DataFrame, key: str) -> DataFrame:
+    """A scan that comes in fewer pieces than there are cores, such as one small file, spread over them.
+
+    Large tables have more pieces than that and are left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def order_lines(spark: SparkSession, path: str, columns: Iterable[str] | None = None) -> DataFrame:
     """The order lines below ``path`` with the requested columns (all by default)."""
     wanted = _definitions()
@@ -112,7 +121,7 @@ def order_lines(spark: SparkSession, path: str, columns: Iterable[str] | None =
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{path}/{name}.parquet")
 
-    df = table("lineitem")
+    df = dealt_out(table("lineitem"), "l_orderkey")
     if "orders" in needed:
         df = df.join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     if "customer" in needed:
