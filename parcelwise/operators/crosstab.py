@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelwise.functions.columns import all_present
+from parcelwise.functions.small import checkpointed
 
 
 def mean_by_pair(df: DataFrame, row: str, column: str, measure: str = "late_risk") -> DataFrame:
@@ -26,8 +27,9 @@ def mean_wide(
 ) -> DataFrame:
     """The same means with one column per value of ``column``. Passing the values saves the pass that finds them."""
     present = df.where(all_present(row, column))
-    # the pivot runs over the small long table, not over the rows
+    # the pivot runs over the small long table, not over the rows; without values it reads that table twice
     long = present.groupBy(row, column).agg(F.avg(measure).alias("rate"))
+    long = long if values else checkpointed(long)
     return long.groupBy(row).pivot(column, list(values) if values else None).agg(F.first("rate")).orderBy(row)
 
 

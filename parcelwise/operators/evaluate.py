@@ -195,6 +195,8 @@ def with_residual(scores: DataFrame) -> DataFrame:
 
 def model_results(scores: DataFrame) -> DataFrame:
     """One row of metrics per model."""
+    # three passes over scores that may come straight from fitted models
+    scores = checkpointed(scores.select("model", "y", "p"))
     return (
         classification_metrics(scores)
         .join(roc_auc(scores), "model")

@@ -6,26 +6,27 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions.columns import all_present
+from parcelwise.functions.small import fetch_small
 
 MAX_LEVELS = 10_000
 
 
 def category_levels(df: DataFrame, columns: Sequence[str], limit: int = MAX_LEVELS) -> dict[str, list]:
-    """Sorted levels of each category, found in one scan."""
-    texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    sets = texts.agg(*[F.collect_set(c).alias(c) for c in columns]).first()
-    levels = {c: sorted(sets[c]) for c in columns}
-    for c, found in levels.items():
-        if len(found) > limit:
-            raise ValueError(f"{c} has {len(found)} levels: too many for dummies")
-    return levels
+    """Sorted levels of each category, found in one scan; refuses more than ``limit`` levels in all."""
+    if not columns:
+        return {}
+    entries = [F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns]
+    found = fetch_small(df.select(F.inline(F.array(*entries))).where(all_present("v")).distinct(), limit)
+    if found is None:
+        raise ValueError(f"more than {limit} levels in {list(columns)}: too many for dummies")
+    return {c: sorted(r["v"] for r in found if r["c"] == c) for c in columns}
 
 
 def dummy_columns(levels: dict[str, list]) -> dict[str, Column]:

@@ -44,7 +44,7 @@ class Prepared:
     label: str
 
 
-ROWS_PER_TASK = 25_000
+ROWS_PER_TASK = 10_000
 
 
 def spread(df: DataFrame, rows: int, key: str) -> DataFrame:
