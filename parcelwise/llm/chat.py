@@ -125,12 +125,12 @@ def turns_of_frame(records: DataFrame, id: str, layouts=LAYOUTS) -> DataFrame:
 
 
 def _json_paths(record: Column) -> Column:
-    """The field paths of a JSON object, those of the objects in its arrays included, as a sorted array of strings."""
+    """The field paths of a JSON object, with those of the first object in each array, as a sorted array of strings."""
 
     def below(key: Column) -> Column:
         value = F.try_element_at(F.from_json(record, "map<string,string>"), key)
         inner = F.transform(
-            F.filter(F.map_keys(F.from_json(F.concat(F.lit('{"a":'), value, F.lit("}")), "struct<a:array<map<string,string>>>")["a"][0]), lambda k: k.isNotNull()),
+            F.map_keys(F.get(F.from_json(value, "array<map<string,string>>"), 0)),
             lambda k: F.concat(key, F.lit("[]."), k),
         )
         return F.when(F.ltrim(value).startswith("["), F.coalesce(inner, F.array(key))).otherwise(F.array(key))

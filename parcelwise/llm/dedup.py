@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import unused, written
 
 FAN_IN = 16  # runs that one run of the next level merges
 ROWS_PER_RUN = 100_000  # rows that a run of the lowest level holds, about
@@ -98,11 +98,12 @@ def without_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text")
     Rows are told apart by id and text; rows equal in both are copies, of which one stays.
     """
     kept = exact_duplicates(docs, id, text).where("kept")
-    same = docs.groupBy(docs[id].alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
-    found = kept.select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    if not same:  # ids alone tell rows apart
-        return docs.join(found, docs[id].eqNullSafe(found["_id"]), "left_semi")
-    digest = F.unhex(F.sha2(normalised(docs[text]), 256))
-    left = docs.withColumn("_key", digest)
-    left = left.join(found, left[id].eqNullSafe(found["_id"]) & (left["_key"] == found["_digest"]), "left_semi")
-    return left.dropDuplicates([id, "_key"]).drop("_key")
+    key, digest = unused(docs, "kept_id"), unused(docs, "kept_digest")
+    found = kept.select(F.col("doc_id").alias(key), F.unhex("text_sha256").alias(digest))
+    repeated = docs.groupBy(docs[id].alias(key)).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if not repeated:  # ids alone tell rows apart
+        return docs.join(found.select(key), docs[id].eqNullSafe(found[key]), "left_semi")
+    own = unused(docs, "own_digest")
+    left = docs.withColumn(own, F.unhex(F.sha2(normalised(docs[text]), 256)))
+    left = left.join(found, left[id].eqNullSafe(found[key]) & (left[own] == found[digest]), "left_semi")
+    return left.dropDuplicates([id, own]).drop(own)

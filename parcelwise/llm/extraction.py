@@ -228,30 +228,30 @@ def _plain(text: str) -> str:
 
 
 def main_text(page: Node, template: set[int]) -> str:
-    """Text of the page without nodes of ``template`` (by address) and those that never hold main text.
+    """Text of the page without blocks that are all ``template`` (by address) and parts that never hold main text.
 
     If the page has an article or a main element, only what is inside counts. Text inside a block is joined as it
-    stands, blocks by one space.
+    stands, blocks by one space. A word that all pages have inside a sentence stays with its sentence.
     """
-    parts: list[str] = []
+    blocks: list[list[Node]] = [[]]
     inside = bool(regions := _regions(page))
-    todo: list[Node | str] = [*reversed(regions)] or [page]
+    todo: list[Node | None] = [*reversed(regions)] or [page]
     first = {address(n) for n in todo}
     while todo:
         n = todo.pop()
-        if isinstance(n, str):
-            parts.append(n)
-        elif n.tag is None:
-            if address(n) not in template:
-                parts.append(n.text)
+        if n is None:
+            blocks.append([])
+        elif n.tag is None or n.tag == "br":
+            blocks[-1].append(n)
         elif n.kind == KEEPS or n.kind == HEAD and inside or address(n) in first:
             if n.tag not in INLINE:
-                parts.append(" ")
-                todo.append(" ")
+                blocks.append([])
+                todo.append(None)
             todo += reversed(n.kids)
-        else:
-            parts.append(" " if n.tag not in INLINE else "")
-    return _plain("".join(parts))
+        elif n.tag not in INLINE:
+            blocks.append([])
+    kept = (b for b in blocks if any(n.tag is None and address(n) not in template and not n.text.isspace() for n in b))
+    return _plain(" ".join("".join(" " if n.tag else n.text for n in b) for b in kept))
 
 
 def _regions(page: Node) -> list[Node]:
@@ -341,7 +341,7 @@ def extract(
 ) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row: the main text and its length in code points.
 
-    The page is aligned with its host's wrapper, and texts that are the host's template go. Of the slots that vary,
+    The page is aligned with its host's wrapper, and blocks of the host's template go. Of the slots that vary,
     those inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go, as
     their elements or class, id and role words tell; if the page has an article or main element, the rest must be
     inside. Character references are decoded, white space runs inside a block become one space, blocks are joined by

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import unused, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCKS_PER_DOCUMENT = 8
@@ -155,6 +155,7 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sou
     taken = mix(docs, id, text, source, **options)
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     # rows that share an id, if any, have their mean number of copies
-    times = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.round(F.avg(copies)).cast("int").alias("_n"))
-    joined = docs.join(times, docs[id].eqNullSafe(times["_id"])).where("_n > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).drop("_id", "_n", "_copy")
+    key, n, copy = (unused(docs, c) for c in ("mixed_id", "mixed_n", "mixed_copy"))
+    times = taken.groupBy(F.col("doc_id").alias(key)).agg(F.round(F.avg(copies)).cast("int").alias(n))
+    joined = docs.join(times, docs[id].eqNullSafe(times[key])).where(F.col(n) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), n))).drop(key, n, copy)
