@@ -202,7 +202,7 @@ FROM gr JOIN val USING (k) CROSS JOIN (SELECT CAST(range AS BIGINT) AS i FROM ra
 GROUP BY gr.k, i"""
 
 
-def kde_2d(grid: int = 50, cut: float = 3.0) -> str:
+def kde_2d(grid: int = 200, cut: float = 3.0) -> str:
     return f"""WITH {LINES},
 smp AS (SELECT * FROM lines ORDER BY md5('42|' || line_id), line_id LIMIT 5000),
 st AS (
@@ -253,6 +253,32 @@ def correlations() -> str:
     return on_lines(" UNION ALL ".join(parts))
 
 
+def describe_wide() -> str:
+    parts = []
+    for c in (*NUMBERS, *DATE_PARTS):
+        x = f"CAST({c} AS DOUBLE)"
+        kinds = {
+            "count": f"CAST(count({c}) AS DOUBLE)", "mean": f"avg({x})", "std": f"stddev_samp({x})", "min": f"min({x})",
+            "p25": f"quantile_cont({x}, 0.25)", "p50": f"quantile_cont({x}, 0.5)", "p75": f"quantile_cont({x}, 0.75)",
+            "max": f"max({x})",
+        }
+        for name, expr in kinds.items():
+            halves = ", ".join(r(f"{expr} FILTER (late_risk = {k})" if name != "count" else f"count({c}) FILTER (late_risk = {k})", f'"{k}"', 3) for k in (0, 1))
+            parts.append(f"SELECT '{c}' AS column_name, '{name}' AS statistic, {halves} FROM lines")
+    return on_lines(" UNION ALL ".join(parts))
+
+
+def correlations_wide() -> str:
+    columns = (*NUMBERS, "late_risk", *DATE_PARTS)
+    parts = [
+        f"SELECT '{a}' AS column_name, "
+        + ", ".join(r(f"covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)", b) for b in columns)
+        + " FROM lines"
+        for a in columns
+    ]
+    return on_lines(" UNION ALL ".join(parts))
+
+
 def every_dim() -> str:
     parts = [
         f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS key, count(*) AS n, {r('avg(late_risk)', 'rate')} "
@@ -325,7 +351,7 @@ cells AS (
   FROM lines GROUP BY order_region, category_name HAVING count(sales) >= 10
 ),
 pts AS (
-  SELECT order_region, category_name, CAST(CASE WHEN late_risk_rate >= 0.42e0 THEN 1 ELSE 0 END AS BIGINT) AS cluster, {scaled}
+  SELECT order_region, category_name, CAST(CASE WHEN late_risk_rate >= avg(late_risk_rate) OVER () THEN 1 ELSE 0 END AS BIGINT) AS cluster, {scaled}
   FROM cells
 ),
 sums AS (
@@ -404,6 +430,7 @@ ent AS (
         "class_balance": on_lines("SELECT late_risk, count(*) AS n FROM lines GROUP BY late_risk"),
         "risk_by_shipping_mode": rate("shipping_mode"),
         "risk_by_region": rate("order_region"),
+        "risk_by_region_published": on_lines(f"SELECT order_region, {r('avg(late_risk)', 'late_risk_rate')} FROM lines GROUP BY 1"),
         "risk_by_market": rate("market"),
         "risk_by_segment": rate("customer_segment"),
         "risk_by_department": rate("department_name"),
@@ -441,6 +468,13 @@ ent AS (
         "correlation_matrix": correlations(),
         "risk_by_all_dims": every_dim(),
         "risk_mode_x_region": rate("shipping_mode, order_region"),
+        "risk_mode_x_region_wide": on_lines(
+            "SELECT shipping_mode, "
+            + ", ".join(r(f"avg(late_risk) FILTER (order_region = '{s}')", s) for s in LEVELS["order_region"])
+            + " FROM lines GROUP BY shipping_mode"
+        ),
+        "describe_by_class_wide": describe_wide(),
+        "correlation_matrix_wide": correlations_wide(),
         "risk_mode_x_segment": rate("shipping_mode, customer_segment"),
         "risk_mode_x_segment_wide": on_lines(
             "SELECT shipping_mode, "

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 20_000
@@ -32,20 +33,30 @@ def attach_small(df: DataFrame, small: DataFrame, keys: Sequence[str], limit: in
     return df.join(small, list(keys)) if keys else df.join(small, F.lit(True))
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """Where this application keeps intermediate tables: below ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, below the warehouse, which they share as well.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the session names.
+    """The table as Parquet in the application's scratch folder, read back.
 
-    Only a local session without one gets a folder of its own; a cluster must name a shared folder.
+    The lineage is cut, later reads take only the columns they use, and lost executors cost nothing.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="parcelwise-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{scratch_folder(spark)}/{uuid4().hex}"
+    # Parquet takes fewer characters in a name than a frame does
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain.write.parquet(path)
+    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables. Results that were not written yet can't be computed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

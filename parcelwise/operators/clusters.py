@@ -16,8 +16,7 @@ from parcelwise.functions.parallel import side_by_side
 from parcelwise.functions.small import checkpointed
 from parcelwise.operators.features import standardized
 
-# the table of cells is small next to the rows; a fixed number of sorted partitions makes fits repeatable
-FIT_PARTITIONS = 4
+POINTS_PER_TASK = 5_000
 MEASURES = ("late_risk_rate", "avg_scheduled_days", "avg_sales", "order_volume")
 
 
@@ -31,6 +30,11 @@ def _assembled(features: DataFrame, measures: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(measures), outputCol="features").transform(features)
 
 
+def _dealt(points: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """As many sorted partitions as the number of points asks for, so that fits are repeatable and spread."""
+    return points.repartition(max(1, -(-rows // POINTS_PER_TASK)), *keys).sortWithinPartitions(*keys)
+
+
 def best_kmeans(points: DataFrame, k: int, restarts: int = 10, seed: int = 42):
     """The fit of least cost over several starts."""
 
@@ -51,8 +55,7 @@ def kmeans_assignment(
 ) -> DataFrame:
     """Cells with their cluster. Clusters are numbered by their mean of the first measure, so numbers are stable."""
     cells = checkpointed(cells)
-    points = _assembled(cell_features(cells, keys, measures), measures).repartition(FIT_PARTITIONS, *keys)
-    points = points.sortWithinPartitions(*keys).persist()
+    points = _dealt(_assembled(cell_features(cells, keys, measures), measures), keys, cells.count()).persist()
     try:
         points.count()
         model = best_kmeans(points, k, restarts, seed)
@@ -79,11 +82,10 @@ def elbow(
     keys: Sequence[str] = ("order_region", "category_name"),
     ks: Sequence[int] = tuple(range(2, 11)),
     measures: Sequence[str] = MEASURES,
-    restarts: int = 3,
+    restarts: int = 10,
 ) -> DataFrame:
     """Cost of the best fit for each number of clusters."""
-    points = _assembled(cell_features(cells, keys, measures), measures).repartition(FIT_PARTITIONS, *keys)
-    points = points.sortWithinPartitions(*keys).persist()
+    points = _dealt(_assembled(cell_features(cells, keys, measures), measures), keys, cells.count()).persist()
     try:
 
         def cost(k: int):

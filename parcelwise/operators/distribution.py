@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions.columns import all_present, when_count
@@ -108,60 +106,67 @@ def describe_by(df: DataFrame, columns: Sequence[str], by: str = "late_risk") ->
     )
 
 
+STATISTICS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+def describe_wide(described: DataFrame, by: str = "late_risk") -> DataFrame:
+    """The table of :func:`describe_by` with a row for each column and statistic and a column for each class."""
+    entries = [F.struct(F.lit(i).alias("place"), F.lit(s).alias("statistic"), F.col(s).cast("double").alias("v")) for i, s in enumerate(STATISTICS)]
+    long = described.select("column_name", by, F.inline(F.array(*entries)))
+    # eight rows for each column and class
+    wide = long.groupBy("column_name", "place", "statistic").pivot(by).agg(F.first("v"))
+    return wide.orderBy("column_name", "place").drop("place")
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every two columns over rows where both are present.
 
-    A constant column has null correlations. Output is long, ``(column_a, column_b, corr)``, with both halves.
-    All pairs come from products of each task's block of rows, one small table of sums per task; values are taken
-    relative to the column means so that large magnitudes do not cancel.
+    A constant column has null correlations. Output is long, ``(column_a, column_b, corr)``, with both halves. One
+    aggregation holds the sums of each pair; values are taken relative to the column means so that large magnitudes do
+    not cancel. Not-a-number counts as missing.
     """
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    p = len(columns)
-    zero = F.lit(0).cast("double")
+    columns = list(columns)
+    numbers = [F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"x{i}") for i, c in enumerate(columns)]
+    rows = df.select(*numbers)
+    names = rows.columns
+    # a constant column becomes exactly 0
     stats = rows.agg(
-        F.struct(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-                 *[(F.min(c) < F.max(c)).alias(f"v{i}") for i, c in enumerate(columns)])
+        F.struct(*[F.avg(c).alias(f"m_{c}") for c in names], *[(F.min(c) < F.max(c)).alias(f"v_{c}") for c in names])
     ).scalar()
-    # a constant column becomes exactly 0
-    shifted = rows.select(
-        F.array(
-            *[
-                F.when(F.col(c).isNull(), None).when(stats[f"v{i}"], F.col(c) - stats[f"m{i}"]).otherwise(zero)
-                for i, c in enumerate(columns)
-            ]
-        ).alias("x")
-    )
-    names = ("n", "sa", "sb", "saa", "sbb", "sab")
-
-    def block_sums(batches):
-        total = np.zeros((len(names), p, p))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["x"].to_numpy()).astype(float)
-            there = ~np.isnan(x)
-            m = there.astype(float)
-            x = np.where(there, x, 0.0)
-            x2 = x * x
-            total += np.stack([m.T @ m, x.T @ m, m.T @ x, x2.T @ m, m.T @ x2, x.T @ x])
-        a, b = np.divmod(np.arange(p * p), p)
-        out = pd.DataFrame({"a": a, "b": b})
-        for name, t in zip(names, total):
-            out[name] = t.ravel()
-        yield out
-
-    sums = shifted.mapInPandas(block_sums, "a int, b int, " + ", ".join(f"{n} double" for n in names))
-    sums = sums.groupBy("a", "b").agg(*[F.sum(n).alias(n) for n in names])
+    zero = F.lit(0).cast("double")
+    shifted = rows.select(*[F.when(F.col(c).isNotNull(), F.when(stats[f"v_{c}"], F.col(c) - stats[f"m_{c}"]).otherwise(zero)).alias(c) for c in names])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+
+    def sums(i: int, j: int) -> Column:
+        a, b = F.col(names[i]), F.col(names[j])
+        both = a.isNotNull() & b.isNotNull()
+        here = {"n": F.lit(1).cast("double"), "sa": a, "sb": b, "saa": a * a, "sbb": b * b, "sab": a * b}
+        parts = [F.sum(F.when(both, v)).alias(k) for k, v in here.items()]
+        return F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *parts)
+
+    # each sum of products needs the null pattern of two columns only; complete columns share theirs
+    table = shifted.agg(*[sums(i, j).alias(f"s{i}_{j}") for i, j in pairs])
+    table = table.select(F.inline(F.array(*[f"s{i}_{j}" for i, j in pairs])))
     covariance = F.col("sab") - F.try_divide(F.col("sa") * F.col("sb"), F.col("n"))
     spread_a = F.col("saa") - F.try_divide(F.col("sa") * F.col("sa"), F.col("n"))
     spread_b = F.col("sbb") - F.try_divide(F.col("sb") * F.col("sb"), F.col("n"))
     corr = F.when((spread_a > 0) & (spread_b > 0), covariance / F.sqrt(spread_a * spread_b))
+    half = table.select("i", "j", corr.alias("corr"))
+    whole = half.select(
+        F.inline(F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j", "corr"))).otherwise(F.array(F.struct("i", "j", "corr"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "corr"))))
+    )
     label = F.array(*[F.lit(c) for c in columns])
-    return sums.select(
-        label[F.col("a")].alias("column_a"), label[F.col("b")].alias("column_b"), corr.alias("corr")
+    return whole.select(
+        label[F.col("i")].alias("column_a"), label[F.col("j")].alias("column_b"), "corr"
     ).orderBy("column_a", "column_b")
 
 
+def correlation_wide(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The long matrix with a column for each of ``columns``, as correlation tables are published."""
+    wide = matrix.groupBy("column_a").pivot("column_b", list(columns)).agg(F.first("corr"))
+    return wide.withColumnRenamed("column_a", "column_name").orderBy("column_name")
+
+
 def sample_rows(df: DataFrame, n: int, key: str = "line_id", seed: int = 42) -> DataFrame:
     """Exactly n rows (all, if there are fewer), the same ones in every run.
 

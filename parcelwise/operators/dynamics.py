@@ -48,7 +48,7 @@ def eigenvector_centrality(
     Edges from one set of nodes to another have no eigenvector of their own, so each edge counts both ways. Every node
     also has an edge of weight 1 to itself, which shifts all eigenvalues by one and stops the iteration from swinging
     between the two sides. One round is one join and one aggregation over the edges; the values are scaled, compared
-    and checkpointed every ``rounds_per_cut`` rounds.
+    and checkpointed every ``rounds_per_cut`` rounds. A graph that has not settled after ``max_rounds`` is an error.
     """
     both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight"))
     loops = both.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(1).cast("double"))
@@ -62,13 +62,15 @@ def eigenvector_centrality(
         raw = checkpointed(raw)
         norm = raw.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
         if not norm:
-            break
+            break  # no nodes
         scaled = raw.select("node", (F.col("x") / F.lit(norm)).alias("x"))
         moved = scaled.join(value.withColumnRenamed("x", "old"), "node")
         change = moved.agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0]
         value = scaled
         if change < tolerance:
             break
+    else:
+        raise RuntimeError(f"centrality still moves by {change:.1e} after {max_rounds} rounds")
     ranked = value.select("node", F.col("x").alias("centrality"))
     return ranked.orderBy(F.desc(F.round("centrality", 9)), "node").limit(top)
 

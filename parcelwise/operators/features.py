@@ -6,8 +6,8 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +38,11 @@ def dummy_columns(levels: dict[str, list]) -> dict[str, Column]:
     }
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], levels: dict[str, list] | None = None) -> DataFrame:
-    """Replace categories by their dummies."""
-    levels = levels or category_levels(df, columns)
+def one_hot(
+    df: DataFrame, columns: Sequence[str], levels: dict[str, list] | None = None, max_levels: int = MAX_LEVELS
+) -> DataFrame:
+    """Replace categories by their dummies: a column each, hence the limit to their number."""
+    levels = levels or category_levels(df, columns, max_levels)
     kept = [F.col(c) for c in df.columns if c not in columns]
     return df.select(*kept, *[expr.alias(name) for name, expr in dummy_columns(levels).items()])
 
@@ -73,7 +75,7 @@ def standardized(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
 
 
 class Design:
-    """Turns order lines into feature vectors: numbers, dummies, interactions, in this order."""
+    """Turns order lines into feature vectors: numbers, interactions, dummies, in this order."""
 
     def __init__(
         self, numeric: Sequence[str], levels: dict[str, list], interactions: Sequence[str] = (), keep: Sequence[str] = ()
@@ -84,9 +86,10 @@ class Design:
         self.keep = list(keep)
         self.names = [
             *self.numeric,
-            *[f"{c}_{v}" for c, found in levels.items() for v in found[1:]],
             *[f"{a} {b}" for a, b in combinations(self.interactions, 2)],
+            *[f"{c}_{v}" for c, found in levels.items() for v in found[1:]],
         ]
+        self.numbers = len(self.numeric) + len(self.interactions) * (len(self.interactions) - 1) // 2
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Rows with ``keep`` columns and ``raw``, the unscaled vector. Missing numbers count as 0."""
@@ -104,11 +107,39 @@ def fit_scaler(train: DataFrame, raw: str = "raw", out: str = "features", rows:
     """Standardise a vector column by population deviation; constant entries become 0."""
     n = rows if rows is not None else train.count()
     scaler = StandardScaler(withMean=True, withStd=True, inputCol=raw, outputCol="_sample").fit(train)
-    # the built-in scaler divides by the sample deviation
+    return PipelineModel(stages=[scaler, _to_population(len(scaler.mean), n, "_sample", out)])
+
+
+def _to_population(size: int, n: int, column: str, out: str) -> ElementwiseProduct:
+    """The built-in scaler divides by the sample deviation."""
     factor = float(np.sqrt(n / (n - 1))) if n > 1 else 1.0
-    size = len(scaler.mean)
-    to_population = ElementwiseProduct(scalingVec=[factor] * size, inputCol="_sample", outputCol=out)
-    return PipelineModel(stages=[scaler, to_population])
+    return ElementwiseProduct(scalingVec=[factor] * size, inputCol=column, outputCol=out)
+
+
+class SparseScaler:
+    """Standardises the first ``numbers`` entries of a vector and only scales the others, the dummies.
+
+    So vectors stay sparse. Neither distances nor a model with a free intercept change by leaving dummies uncentred;
+    numbers with large means would make the fit ill-conditioned.
+    """
+
+    def __init__(self, train: DataFrame, numbers: int, rows: int, raw: str = "raw", out: str = "features"):
+        first = train.select(raw).first()
+        size = first[0].size if first else numbers
+        parts = [("_numbers", list(range(numbers)), True), ("_dummies", list(range(numbers, size)), False)]
+        stages, made = [], []
+        for name, entries, centred in parts:
+            if entries:
+                scaler = StandardScaler(withMean=centred, withStd=True, inputCol=name, outputCol=f"{name}_scaled")
+                stages += [VectorSlicer(inputCol=raw, outputCol=name, indices=entries), scaler]
+                made += [name, f"{name}_scaled"]
+        stages.append(VectorAssembler(inputCols=made[1::2], outputCol="_sample"))
+        stages.append(_to_population(size, rows, "_sample", out))
+        self.made = [*made, "_sample"]
+        self.model = Pipeline(stages=stages).fit(train)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df).drop(*self.made)
 
 
 def principal_components(df: DataFrame, columns: Sequence[str], k: int = 10) -> tuple[PipelineModel, DataFrame]:

@@ -8,14 +8,13 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions.small import checkpointed
-from parcelwise.operators.features import Design, category_levels, fit_scaler
+from parcelwise.operators.features import Design, SparseScaler, category_levels
 from parcelwise.operators.knn import knn_scores
 from parcelwise.operators.split import stratified_split
 
@@ -36,7 +35,7 @@ class Prepared:
     """Feature vectors, split and scaled, with the fitted pieces that made them."""
 
     design: Design
-    scaler: PipelineModel
+    scaler: SparseScaler
     train: DataFrame
     test: DataFrame
     n_train: int
@@ -74,10 +73,10 @@ def prepared(
 
     ``train`` and ``test`` have the key, ``y``, the carried columns, ``raw`` and ``features`` (scaled).
     """
-    # levels, cuts and vectors all read these rows: join and derive them once
-    df = checkpointed(df)
-    df = spread(df, df.count(), key)
+    # levels, cuts and vectors all read these columns: join and derive them once
     categories = [c for c in categories if c in df.columns]
+    df = checkpointed(df.select(*dict.fromkeys([key, label, *numeric, *categories, *interactions, *carry])))
+    df = spread(df, df.count(), key)
     keep = list(dict.fromkeys([key, label, "split", *carry]))
     design = Design(numeric, category_levels(df, categories), interactions, keep)
     vectors = design.apply(stratified_split(df, label, key)).withColumn("y", F.col(label).cast("double"))
@@ -85,7 +84,7 @@ def prepared(
     try:
         train, test = vectors.where("split = 'train'"), vectors.where("split = 'test'")
         n = train.count()
-        scaler = fit_scaler(train, rows=n)
+        scaler = SparseScaler(train, design.numbers, n)
         yield Prepared(design, scaler, scaler.transform(train), scaler.transform(test), n, key, label)
     finally:
         vectors.unpersist()
@@ -110,8 +109,8 @@ def decision_tree(features: str = "raw", depth: int = 10, bins: int = 256, seed:
     )
 
 
-def neural_net(n_features: int, hidden: Sequence[int] = (64, 32), max_iter: int = 100, seed: int = 42):
-    """Two hidden layers. The built-in network has sigmoid units and fits by L-BFGS."""
+def neural_net(n_features: int, hidden: Sequence[int] = (64, 32), max_iter: int = 300, seed: int = 42):
+    """Two hidden layers. The built-in network has sigmoid units and fits by L-BFGS until its tolerance or ``max_iter``."""
     return MultilayerPerceptronClassifier(
         featuresCol="features", labelCol="y", layers=[n_features, *hidden, 2], maxIter=max_iter, seed=seed, solver="l-bfgs"
     )
@@ -136,7 +135,7 @@ def evaluate_models(
     models: Sequence[str] = ("Logistic Regression", "Decision Tree", "KNN", "Artificial Neural Network"),
     carry: Sequence[str] = (),
     cells: Sequence[str] = (),
-    net_iterations: int = 100,
+    net_iterations: int = 300,
 ) -> DataFrame:
     """Fit the named models on the training part and score the test part, as one long table."""
     keep = [data.key, *carry]

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from parcelwise.functions.small import attach_small
+
+ROWS_PER_BUCKET = 50_000
+MAX_BUCKETS = 10_000
+FEWEST = 8
 
 
 def running_totals(
@@ -17,21 +21,25 @@ def running_totals(
     totals: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add ``upto_<t>``: the sum of ``t`` over all rows of the same ``by`` key up to and including this one.
 
-    ``order`` is a numeric column, unique per ``by`` key (collapse ties first). The rows are cut into buckets at
-    quantiles of ``order``; each bucket is summed inside by its own task and starts from the sum of the buckets before
-    it, which is a table of at most ``buckets`` rows per key.
+    ``order`` is a numeric column, unique per ``by`` key (collapse ties first). The rows of each key are cut into
+    buckets at quantiles of their own ``order``; each bucket is summed inside by its own task and starts from the sum of
+    the buckets before it, which is a table of at most ``buckets`` rows per key. Their number follows from the number of
+    rows; it decides how the work is dealt, never the result.
     """
     by = list(by)
-    steps = [i / buckets for i in range(1, buckets)]
     df = df.withColumn(order, F.col(order).cast("double"))
-    cuts = df.agg(F.percentile_approx(order, steps, F.lit(1000))).scalar()
+    if buckets is None:
+        buckets = min(MAX_BUCKETS, max(FEWEST, -(-df.count() // ROWS_PER_BUCKET)))
+    steps = [i / buckets for i in range(1, buckets)]
+    cut = df.groupBy(*by).agg(F.percentile_approx(order, steps, F.lit(max(1000, 4 * buckets))).alias("_cuts"))
+    pieces = attach_small(df, cut, by)
     # the place a value takes among the sorted cuts
-    bucket = F.array_position(F.sort_array(F.array_append(cuts, F.col(order))), F.col(order))
-    pieces = df.withColumn("_bucket", -bucket if descending else bucket)
+    bucket = F.array_position(F.sort_array(F.array_append("_cuts", F.col(order))), F.col(order))
+    pieces = pieces.withColumn("_bucket", -bucket if descending else bucket).drop("_cuts")
 
     per_bucket = pieces.groupBy(*by, "_bucket").agg(*[F.sum(t).alias(f"_sum_{t}") for t in totals])
     earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -32,6 +32,11 @@ def rate_by(df: DataFrame, dims: str | Sequence[str], measure: str = LABEL, orde
     return out.orderBy(*first, *dims)
 
 
+def published_rate(table: DataFrame, name: str = "late_risk_rate") -> DataFrame:
+    """A rate table as it is published: the key and its rate under the measure's own name, without the count."""
+    return table.drop("n").withColumnRenamed("rate", name)
+
+
 def mean_by(df: DataFrame, dim: str, measure: str, name: str) -> DataFrame:
     """Mean of a measure per key, largest first."""
     return df.where(all_present(dim)).groupBy(dim).agg(F.avg(measure).alias(name)).orderBy(F.desc(name), dim)
@@ -137,40 +142,28 @@ def bootstrap_means(
     dim: str,
     measure: str,
     key: str = "line_id",
-    draws: int = 200,
+    draws: int = 1000,
     level: float = 0.95,
     seed: int = 42,
 ) -> DataFrame:
-    """Poisson bootstrap of the mean of any measure per key.
+    """Poisson bootstrap of the mean of any measure per key: ``(dim, n, mean, ci_low, ci_high)``.
 
-    Each row gets one Poisson(1) weight per draw inside its own task; a task sends on one pair of sums per key and draw.
+    A row's weight in a draw is a Poisson(1) number found from a hash of its key and the draw, so replays agree. The
+    weighted sums are combined inside the tasks: the shuffle holds a row for each task, key and draw.
     """
-    import numpy as np
-    import pandas as pd
-
-    def weighted(batches):
-        sums: dict = {}
-        for pdf in batches:
-            seeds = pdf["_seed"].to_numpy()
-            x = pdf["_x"].to_numpy()
-            weights = np.empty((len(pdf), draws), dtype=np.int64)
-            for i, s in enumerate(seeds):
-                weights[i] = np.random.default_rng([seed, int(s) & 0xFFFFFFFF]).poisson(1.0, draws)
-            for value, index in pdf.groupby("_dim").indices.items():
-                w = weights[index]
-                total, mass = sums.get(value, (0, 0))
-                sums[value] = (total + x[index] @ w, mass + w.sum(axis=0))
-        for value, (total, mass) in sums.items():
-            yield pd.DataFrame({"_dim": value, "draw": np.arange(draws), "total": total, "mass": mass.astype("float64")})
-
-    rows = df.where(all_present(dim, measure)).select(
-        F.col(dim).cast("string").alias("_dim"), F.col(measure).cast("double").alias("_x"), F.xxhash64(key).alias("_seed")
-    )
-    per_draw = (
-        rows.mapInPandas(weighted, "_dim string, draw int, total double, mass double")
-        .groupBy("_dim", "draw")
-        .agg((F.sum("total") / F.nullif(F.sum("mass"), F.lit(0).cast("double"))).alias("mean"))
-    )
+    import math
+
+    rows = df.where(all_present(dim, measure)).select(F.col(dim).alias("_dim"), F.col(measure).cast("double").alias("_x"), F.col(key).alias("_k"))
+    # P(weight <= w) for w = 0, 1, ...; beyond the last the chance is below 1e-15
+    steps, total = [], 0.0
+    for w in range(18):
+        total += math.exp(-1) / math.factorial(w)
+        steps.append(total)
+    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u = (F.xxhash64(F.lit(seed), "_k", "draw") / F.lit(2.0**64)) + 0.5
+    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0)).cast("double")
+    each = each.withColumn("_w", weight).where("_w > 0")
+    per_draw = each.groupBy("_dim", "draw").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("mean"))
     low, high = (1 - level) / 2, (1 + level) / 2
     # draws rows per key, whatever the size of the data
     bounds = per_draw.groupBy("_dim").agg(F.percentile("mean", F.array(F.lit(low), F.lit(high))).alias("q"))

@@ -20,8 +20,9 @@ from parcelwise.functions.columns import all_present, hash_text
 from parcelwise.functions.small import fetch_small
 
 LEAF_ROWS = 100_000
-PREFIX_STEP = 3
-MAX_STRATA = 100
+PREFIX_STEP = 3  # hex digits that a pass adds, where there are few enough parts
+FETCHED_ROWS = 400_000  # counts that one pass sends to the driver, at most
+MAX_STRATA = 1_000  # strata of one table, however many rows each has
 
 
 class Cut(NamedTuple):
@@ -38,68 +39,70 @@ def hash_cuts(
     stratum: str | None = None,
     seed: int = 42,
     leaf_rows: int = LEAF_ROWS,
+    max_strata: int = MAX_STRATA,
 ) -> dict[object, list[Cut]]:
     """For each stratum of size n, the rows at ``ranks(n)`` (counted from 1) in hash order.
 
-    Keys must be unique and present. Every pass is an aggregation or touches at most ``leaf_rows`` rows per cut.
+    Keys must be unique and present. Every pass is an aggregation or touches at most ``leaf_rows`` rows per cut. More
+    than ``max_strata`` strata are an error, at any number of rows: a plan has a branch for each.
     """
     rows = df.where(all_present(key, *([stratum] if stratum else []))).select(
         (F.col(stratum) if stratum else F.lit(None).cast("string")).alias("_s"),
         F.col(key).cast("string").alias("_k"),
         hash_text(key, seed).alias("_h"),
     )
-    fan_out = 16**PREFIX_STEP
-
-    def is_part(s, prefix: str) -> Column:
-        return F.col("_s").eqNullSafe(F.lit(s)) & F.col("_h").startswith(prefix)
-
-    def counts(part_rows: DataFrame, depth: int, parts: int) -> dict:
-        """Rows per hash prefix of this depth, in order, by the prefix one step shorter."""
+    found = fetch_small(rows.groupBy("_s").agg(F.count("*").alias("n")), max_strata)
+    if found is None:
+        raise ValueError(f"more than {max_strata} strata")
+    sizes = {r["_s"]: r["n"] for r in found}
+
+    def in_parts(parts, depth: int) -> Column:
+        """Rows of some (stratum, prefix of this depth) parts."""
+        name = F.concat_ws("|", F.substring("_h", 1, depth), F.coalesce(F.col("_s").cast("string"), F.lit("")))
+        return name.isin([f"{p}|{'' if s is None else labels[s]}" for s, p in parts])
+
+    def counts(part_rows: DataFrame, depth: int) -> dict:
+        """Rows per hash prefix of this depth, in order, by stratum."""
         prefix = F.substring("_h", 1, depth).alias("p")
-        found = fetch_small(part_rows.groupBy("_s", prefix).agg(F.count("*").alias("n")), parts * fan_out)
-        if found is None:
-            raise ValueError(f"more than {MAX_STRATA} strata")
         by_part: dict = {}
-        for r in sorted(found, key=lambda r: r["p"]):
-            by_part.setdefault((r["_s"], r["p"][: depth - PREFIX_STEP]), []).append((r["p"], r["n"]))
+        for r in sorted(part_rows.groupBy("_s", prefix).agg(F.count("*").alias("n")).collect(), key=lambda r: r["p"]):
+            by_part.setdefault(r["_s"], []).append((r["p"], r["n"]))
         return by_part
 
     def narrowed(by_part: dict, asked: dict) -> dict:
         """For every prefix that holds an asked rank: its rows and the (answer position, rank under it) pairs."""
         out: dict = {}
-        for part, wanted in asked.items():
+        for (s, start), wanted in asked.items():
             passed, pending = 0, sorted(wanted, key=lambda w: w[1])
-            for prefix, n in by_part[part]:
+            for prefix, n in by_part.get(s, []):
+                if not prefix.startswith(start):
+                    continue
                 while pending and pending[0][1] <= passed + n:
                     i, rank = pending.pop(0)
-                    out.setdefault((part[0], prefix), (n, []))[1].append((i, rank - passed))
+                    out.setdefault((s, prefix), (n, []))[1].append((i, rank - passed))
                 passed += n
         return out
 
-    first = counts(rows, PREFIX_STEP, MAX_STRATA)
-    sizes = {s: sum(n for _, n in prefixes) for (s, _), prefixes in first.items()}
+    # the text by which a filter knows a stratum
+    labels = {r["_s"]: r["t"] for r in rows.select("_s").distinct().select("_s", F.col("_s").cast("string").alias("t")).collect()}
     cuts: dict = {s: [Cut(None, None)] * len(ranks(n)) for s, n in sizes.items()}
     asked = {(s, ""): [(i, rank) for i, rank in enumerate(ranks(n)) if rank > 0] for s, n in sizes.items()}
-    open_parts = narrowed(first, asked)
+    open_parts = {part: (sizes[part[0]], wanted) for part, wanted in asked.items() if wanted}
+    depth = 0
     while any(n > leaf_rows for n, _ in open_parts.values()):
-        depth = max(len(prefix) for _, prefix in open_parts) + PREFIX_STEP
-        here = reduce(lambda a, b: a | b, (is_part(s, p) for s, p in open_parts))
-        by_part = counts(rows.where(here), depth, len(open_parts))
+        step = max(s for s in range(1, PREFIX_STEP + 1) if s == 1 or len(open_parts) * 16**s <= FETCHED_ROWS)
+        by_part = counts(rows.where(in_parts(open_parts, depth)) if depth else rows, depth + step)
         open_parts = narrowed(by_part, {part: wanted for part, (_, wanted) in open_parts.items()})
+        depth += step
 
     if open_parts:
-        here = reduce(lambda a, b: a | b, (is_part(s, p) for s, p in open_parts))
-        depth = max(len(prefix) for _, prefix in open_parts)
         position = F.row_number().over(W.partitionBy("_s", "_p").orderBy("_h", "_k"))
-        ranked = rows.where(here).withColumn("_p", F.substring("_h", 1, depth)).withColumn("_rank", position)
-        at_ranks = reduce(
-            lambda a, b: a | b,
-            (
-                is_part(s, p) & F.col("_rank").isin(sorted({rank for _, rank in wanted}))
-                for (s, p), (_, wanted) in open_parts.items()
-            ),
-        )
-        answers = {(r["_s"], r["_p"], r["_rank"]): Cut(r["_h"], r["_k"]) for r in ranked.where(at_ranks).collect()}
+        ranked = rows.where(in_parts(open_parts, depth)).withColumn("_p", F.substring("_h", 1, depth)).withColumn("_rank", position)
+        wanted_ranks = sorted({rank for _, wanted in open_parts.values() for _, rank in wanted})
+        # at most one row for each part and asked rank
+        answers = {
+            (r["_s"], r["_p"], r["_rank"]): Cut(r["_h"], r["_k"]) for r in ranked.where(F.col("_rank").isin(wanted_ranks)).collect()
+        }
         for (s, p), (_, wanted) in open_parts.items():
             for i, rank in wanted:
                 cuts[s][i] = answers[(s, p, rank)]
@@ -115,10 +118,10 @@ def within_cut(key: str, cut: Cut, seed: int = 42) -> Column:
 
 
 def _per_stratum(stratum: str, cuts: dict, value: Callable[[list[Cut]], Column], default) -> Column:
-    branches = F.lit(default)
+    branches = F
     for s, c in cuts.items():
-        branches = F.when(F.col(stratum) == s, value(c)).otherwise(branches)
-    return branches
+        branches = branches.when(F.col(stratum) == s, value(c))
+    return branches.otherwise(default) if cuts else F.lit(default)
 
 
 def half_up(x: float) -> int:

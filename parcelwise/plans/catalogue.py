@@ -85,11 +85,23 @@ def _scores(df: DataFrame) -> DataFrame:
     return evaluate.cell_rate_scores(df)
 
 
+# scored tables of this application's order lines, so that every curve of the fitted models reads one and the same
+_scored: dict[tuple, DataFrame] = {}
+
+
 def _fitted_scores(df: DataFrame, *names: str) -> DataFrame:
-    carry = ["profit_ratio", *models.NEIGHBOUR_CELLS]
-    with preparing(df, carry) as data:
-        scores = evaluate_all(data, names)
-    return scores
+    """The test rows as the named models score them, all four by default; fitted once for the same order lines."""
+    known = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), names)
+    if known not in _scored:
+        with preparing(df, ["profit_ratio", *models.NEIGHBOUR_CELLS]) as data:
+            # written while the vectors are cached: nothing is scored or rebuilt after the block
+            _scored[known] = checkpointed(evaluate_all(data, names))
+    return _scored[known]
+
+
+def forget_scores() -> None:
+    """Fit anew from here on; needed once the scratch tables are gone."""
+    _scored.clear()
 
 
 def evaluate_all(data: models.Prepared, names: Sequence[str] = ()) -> DataFrame:
@@ -192,24 +204,25 @@ def _cross_validation(df: DataFrame) -> DataFrame:
     return diagnostics.cross_validate(lines, design)
 
 
-def _permutation(df: DataFrame) -> DataFrame:
+def _permutation_repeats(df: DataFrame) -> DataFrame:
     with preparing(df) as data:
         model = models.fit("Logistic Regression", models.logistic_regression(data.n_train), data.train)
         weights = [float(w) for w in model.coefficients]
-        return diagnostics.permutation_importance(data.test, data.design.names, weights, model.intercept)
+        return checkpointed(diagnostics.permutation_repeats(data.test, data.design.names, weights, model.intercept))
 
 
 def _learning_curve(df: DataFrame) -> DataFrame:
     with preparing(df) as data:
-        return diagnostics.learning_curve(data)
+        return checkpointed(diagnostics.learning_curve(data))
 
 
 def _partial_dependence(df: DataFrame) -> DataFrame:
     with preparing(df) as data:
         model = models.fit("Decision Tree", models.decision_tree(), data.train)
-        return diagnostics.partial_dependence(
+        curves = diagnostics.partial_dependence(
             data.train, model, data.design.names, ("days_scheduled", "sales", "discount_rate")
         )
+        return checkpointed(curves)
 
 
 def _kmeans(df: DataFrame) -> DataFrame:
@@ -224,9 +237,11 @@ def _silhouette(df: DataFrame) -> DataFrame:
 
 
 def _silhouette_by_rule(df: DataFrame) -> DataFrame:
-    """Silhouette of a fixed grouping of the cells, late cells against the others, instead of fitted clusters."""
+    """Silhouette of a fixed grouping of the cells, cells later than the mean cell against the others, instead of
+    fitted clusters."""
     cells = checkpointed(rates.cells(df))
-    rule = cells.select(*CELL_KEYS, F.when(F.col("late_risk_rate") >= F.lit(0.42).cast("double"), 1).otherwise(0).alias("cluster"))
+    middle = cells.agg(F.avg("late_risk_rate")).scalar()
+    rule = cells.select(*CELL_KEYS, F.when(F.col("late_risk_rate") >= middle, 1).otherwise(0).alias("cluster"))
     points = clusters.cell_features(cells, CELL_KEYS).join(rule, list(CELL_KEYS))
     return clusters.silhouette(points, clusters.MEASURES, CELL_KEYS)
 
@@ -262,6 +277,18 @@ def _fitted(*names: str) -> Analysis:
     return Analysis(lambda df: _fitted_scores(df, *names), MODEL_USES)
 
 
+def _on_fitted(run: Callable[[DataFrame], DataFrame], digits=6) -> Analysis:
+    return Analysis(lambda df: run(_fitted_scores(df)), MODEL_USES, digits)
+
+
+def _residuals_of(scores: DataFrame, model: str) -> DataFrame:
+    return evaluate.with_residual(scores.where(F.col("model") == model))
+
+
+def _residual_density(scores: DataFrame) -> DataFrame:
+    return density.kde(scores, "residual", ["model"], grid=200, cut=0, discrete=True, scale_bins=50)
+
+
 KDE_DIGITS = {"density": 10, "x": 4, "q1": 4, "median": 4, "q3": 4}
 
 ANALYSES: dict[str, Analysis] = {
@@ -275,7 +302,13 @@ ANALYSES: dict[str, Analysis] = {
     "class_balance": Analysis(lambda df: rates.volume_by(df, L), (L,)),
     "risk_by_shipping_mode": _rate("shipping_mode"),
     "bootstrap_rate_ci": Analysis(lambda df: rates.bootstrap_rates(df, "shipping_mode"), ("shipping_mode", L)),
+    "bootstrap_sales_ci": Analysis(
+        lambda df: rates.bootstrap_means(df, "shipping_mode", "sales"), ("line_id", "shipping_mode", "sales"), 4
+    ),
     "risk_by_region": _rate("order_region"),
+    "risk_by_region_published": Analysis(
+        lambda df: rates.published_rate(rates.rate_by(df, "order_region", order="rate_desc")), ("order_region", L)
+    ),
     "risk_by_market": _rate("market"),
     "risk_by_segment": _rate("customer_segment"),
     "risk_by_department": _rate("department_name"),
@@ -302,9 +335,18 @@ ANALYSES: dict[str, Analysis] = {
     ),
     "describe_by_class": Analysis(_describe, (L, *MEASURES, "order_ts"), 3),
     "correlation_matrix": Analysis(_correlations, (L, *MEASURES, "order_ts")),
+    "describe_by_class_wide": Analysis(
+        lambda df: distribution.describe_wide(_describe(df), L), (L, *MEASURES, "order_ts"), 3
+    ),
+    "correlation_matrix_wide": Analysis(
+        lambda df: distribution.correlation_wide(_correlations(df), _clean_numeric(df)[1]), (L, *MEASURES, "order_ts")
+    ),
     "risk_by_all_dims": Analysis(lambda df: rates.rate_by_every(df, DIMENSIONS), (*DIMENSIONS, L)),
     # two-way tables
     "risk_mode_x_region": _pair("shipping_mode", "order_region"),
+    "risk_mode_x_region_wide": Analysis(
+        lambda df: crosstab.mean_wide(df, "shipping_mode", "order_region"), ("shipping_mode", "order_region", L)
+    ),
     "risk_mode_x_segment": _pair("shipping_mode", "customer_segment"),
     "risk_mode_x_segment_wide": Analysis(
         lambda df: crosstab.mean_wide(df, "shipping_mode", "customer_segment"), ("shipping_mode", "customer_segment", L)
@@ -353,12 +395,7 @@ ANALYSES: dict[str, Analysis] = {
     "kde_log_sales": Analysis(
         lambda df: density.kde(_log_sales(df), "log_sales", grid=200, cut=0, scale_bins=50), ("sales",), {"density": 4}
     ),
-    "kde_residuals": _on_scores(
-        lambda s: density.kde(
-            evaluate.with_residual(s), "residual", ["model"], grid=200, cut=0, discrete=True, scale_bins=50
-        ),
-        {"density": 4},
-    ),
+    "kde_residuals": _on_scores(lambda s: _residual_density(evaluate.with_residual(s)), {"density": 4}),
     "kde_sched_by_status": Analysis(
         lambda df: density.kde(df, "days_scheduled", ["order_status"], grid=200, cut=3, discrete=True),
         ("days_scheduled", "order_status"),
@@ -411,9 +448,24 @@ ANALYSES: dict[str, Analysis] = {
     "knn_scores": _fitted("KNN"),
     "mlp_scores": _fitted("Artificial Neural Network"),
     "mlp_loss_curve": Analysis(_mlp_loss, MODEL_USES),
-    "model_results": Analysis(lambda df: evaluate.model_results(_fitted_scores(df)), MODEL_USES),
+    "dt_importance_top": Analysis(lambda df: _dt_importance(df).limit(15), MODEL_USES),
+    "model_results": _on_fitted(evaluate.model_results),
+    "models_confusion_matrix": _on_fitted(evaluate.confusion_matrix),
+    "models_roc_curve": _on_fitted(evaluate.roc_curve),
+    "models_pr_curve": _on_fitted(evaluate.pr_curve),
+    "models_cost_curve": _on_fitted(evaluate.cost_curve),
+    "models_cost_optimal_threshold": _on_fitted(lambda s: evaluate.cost_optimal_threshold(evaluate.cost_curve(s))),
+    "models_calibration_curve": _on_fitted(evaluate.calibration_curve),
+    "models_hist_predicted": _on_fitted(lambda s: distribution.histogram(s, "p", 10, 0, 1, by="model")),
+    "lr_residual_histogram": _on_fitted(
+        lambda s: distribution.histogram(_residuals_of(s, "Logistic Regression"), "residual", 50, by="model")
+    ),
+    "lr_residual_kde": _on_fitted(lambda s: _residual_density(_residuals_of(s, "Logistic Regression"))),
     "cv_results": Analysis(_cross_validation, MODEL_USES),
-    "permutation_importance": Analysis(_permutation, MODEL_USES),
+    "permutation_repeats": Analysis(_permutation_repeats, MODEL_USES),
+    "permutation_importance": Analysis(
+        lambda df: diagnostics.importance_summary(_permutation_repeats(df)), MODEL_USES
+    ),
     "learning_curve": Analysis(_learning_curve, MODEL_USES),
     "partial_dependence": Analysis(_partial_dependence, MODEL_USES),
     # clusters
@@ -434,3 +486,10 @@ ANALYSES: dict[str, Analysis] = {
     "kaplan_meier": Analysis(_survival, ("shipping_mode", "days_real")),
     "survival_median": Analysis(lambda df: dynamics.median_survival(_survival(df)), ("shipping_mode", "days_real")),
 }
+
+# analyses of every numeric column that a table has, listed or not
+MEASURES_OF_ALL = frozenset(
+    name
+    for name, analysis in ANALYSES.items()
+    if analysis.uses is MODEL_USES or analysis.uses == (L, *MEASURES, "order_ts") or analysis.uses == ("line_id", L, *MEASURES, "order_ts")
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,33 +18,33 @@ WIDE_COLUMNS = {
     "Sales per customer": "double",
     "Delivery Status": "string",
     "Late_delivery_risk": "int",
-    "Category Id": "int",
+    "Category Id": "long",
     "Category Name": "string",
     "Customer City": "string",
     "Customer Country": "string",
     "Customer Email": "string",
     "Customer Fname": "string",
-    "Customer Id": "int",
+    "Customer Id": "long",
     "Customer Lname": "string",
     "Customer Password": "string",
     "Customer Segment": "string",
     "Customer State": "string",
     "Customer Street": "string",
     "Customer Zipcode": "string",
-    "Department Id": "int",
+    "Department Id": "long",
     "Department Name": "string",
     "Latitude": "double",
     "Longitude": "double",
     "Market": "string",
     "Order City": "string",
     "Order Country": "string",
-    "Order Customer Id": "int",
+    "Order Customer Id": "long",
     "order date (DateOrders)": "timestamp",
-    "Order Id": "int",
-    "Order Item Cardprod Id": "int",
+    "Order Id": "long",
+    "Order Item Cardprod Id": "long",
     "Order Item Discount": "double",
     "Order Item Discount Rate": "double",
-    "Order Item Id": "int",
+    "Order Item Id": "long",
     "Order Item Product Price": "double",
     "Order Item Profit Ratio": "double",
     "Order Item Quantity": "int",
@@ -54,8 +55,8 @@ WIDE_COLUMNS = {
     "Order State": "string",
     "Order Status": "string",
     "Order Zipcode": "string",
-    "Product Card Id": "int",
-    "Product Category Id": "int",
+    "Product Card Id": "long",
+    "Product Category Id": "long",
     "Product Description": "string",
     "Product Image": "string",
     "Product Name": "string",
@@ -114,10 +115,11 @@ def read_wide_csv(
 ) -> DataFrame:
     """Read the wide table from delimited text.
 
-    Only the header line is looked at for names (their order and padding may vary); the types are declared, so there is
-    no inference pass over the data. Time columns are read as text and parsed with ``time_format``.
+    The header of one file gives the order of the columns and their padding, which may differ from the declared ones;
+    every file is checked against it as it is read, and one with another header is an error. The types are declared, so
+    there is no inference pass over the data. Time columns are read as text and parsed with ``time_format``.
     """
-    reader = spark.read.option("header", True).option("encoding", encoding)
+    reader = spark.read.option("header", True).option("encoding", encoding).option("enforceSchema", False)
     kinds = {c.lower(): "string" if t == "timestamp" else t for c, t in WIDE_COLUMNS.items()}
     header = reader.csv(path).columns
     schema = T.StructType([T.StructField(c, T.DataType.fromDDL(kinds.get(c.strip().lower(), "string"))) for c in header])
@@ -132,6 +134,20 @@ def read_wide_parquet(spark: SparkSession, path: str) -> DataFrame:
     return with_working_names(spark.read.parquet(path))
 
 
+def unparsed_numbers(text: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column of texts, how many are present and how many of these don't fit its declared type."""
+    kinds = {working_name(c): t for c, t in WIDE_COLUMNS.items()}
+    counts = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.count(c).alias("n_text"),
+            F.count(F.when(F.col(c).isNotNull() & F.trim(c).try_cast(kinds[c]).isNull(), 1)).alias("n_failed"),
+        )
+        for c in columns
+    ]
+    return text.agg(F.array(*counts).alias("all")).select(F.inline("all"))
+
+
 def unparsed_times(text: DataFrame, column: str, fmt: str) -> DataFrame:
     """How many present time texts do not fit the format."""
     parsed = F.try_to_timestamp(F.col(column), F.lit(fmt))

@@ -6,7 +6,9 @@ import math
 
 import pandas as pd
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations",
+)
 
 
 def duck(path: str):

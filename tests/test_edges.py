@@ -246,3 +246,62 @@ def test_bootstrap_interval_covers_the_rate_and_replays(spark):
     general = rates.bootstrap_means(df.withColumn("line_id", F.monotonically_increasing_id()), "m", "late_risk", draws=300)
     for a, b in zip(first, general.collect()):
         assert b["mean"] == pytest.approx(a["rate"]) and b["ci_low"] == pytest.approx(a["ci_low"], abs=0.01)
+
+
+@pytest.mark.parametrize("n,leaf", [(4_000, 100_000), (40_000, 50)])
+def test_many_classes_split_at_any_number_of_rows(spark, n, leaf):
+    df = spark.range(n).select(F.col("id").cast("string").alias("line_id"), (F.col("id") % 200).cast("int").alias("late_risk"))
+    cuts = split.hash_cuts(df, "line_id", lambda size: [split.half_up(0.2 * size)], "late_risk", leaf_rows=leaf)
+    assert len(cuts) == 200
+    parts = split.stratified_split(df).groupBy("late_risk", "split").count().toPandas()
+    assert set(parts[parts["split"] == "test"]["count"]) == {n // 1000} and len(parts) == 400
+    with pytest.raises(ValueError):
+        split.hash_cuts(df, "line_id", lambda size: [1], "late_risk", max_strata=100)
+
+
+def test_centrality_that_has_not_settled_is_an_error(spark):
+    path = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", 1.0) for i in range(60)], "src string, dst string, weight double")
+    with pytest.raises(RuntimeError):
+        dynamics.eigenvector_centrality(path, max_rounds=20)
+
+
+def test_running_totals_cut_each_key_by_its_own_values(spark):
+    from parcelwise.operators.prefix import running_totals
+
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"k": ["wide"] * 3000 + ["narrow"] * 300, "v": np.r_[rng.permutation(3000) * 1e3, rng.permutation(300) / 1e6], "w": 1})
+    df = spark.createDataFrame(pdf)
+    out = running_totals(df, "v", ["w"], by=["k"], buckets=10)
+    # the window's partitions are the buckets
+    plan = out._jdf.queryExecution().toString()
+    assert "_bucket" in plan
+    want = pdf.sort_values("v").assign(upto=lambda d: d.groupby("k")["w"].cumsum()).set_index(["k", "v"])["upto"]
+    got = out.toPandas().set_index(["k", "v"])["upto_w"]
+    assert (got.sort_index() == want.sort_index()).all()
+
+
+def test_bootstrap_of_a_mean(spark):
+    rng = np.random.default_rng(7)
+    x = np.r_[rng.normal(10, 3, 400), rng.normal(-2, 1, 50)]
+    rows = [(str(i), "a" if i < 400 else "b", float(v)) for i, v in enumerate(x)] + [("n", None, 1.0), ("m", "a", None)]
+    df = spark.createDataFrame(rows, "line_id string, k string, v double")
+    got = rates.bootstrap_means(df, "k", "v").toPandas().set_index("k")
+    for k, part in (("a", x[:400]), ("b", x[400:])):
+        half = 1.96 * part.std() / np.sqrt(len(part))
+        row = got.loc[k]
+        assert row["n"] == len(part) and row["mean"] == pytest.approx(part.mean())
+        assert row["ci_low"] == pytest.approx(part.mean() - half, abs=0.25 * half) and row["ci_high"] == pytest.approx(part.mean() + half, abs=0.25 * half)
+    again = rates.bootstrap_means(df, "k", "v").toPandas().set_index("k")
+    assert (got == again).all().all()
+
+
+def test_density_of_two_columns_equals_a_loop(spark):
+    rng = np.random.default_rng(8)
+    xy = rng.normal(size=(60, 2)) @ np.array([[1.0, 0.6], [0.0, 0.5]])
+    df = spark.createDataFrame([(float(a), float(b), "k") for a, b in xy], "x double, y double, g string")
+    got = density.kde_2d(df, "x", "y", "g", grid=9).toPandas()
+    cov = np.cov(xy.T) * 60 ** (-1 / 3)
+    inv, norm = np.linalg.inv(cov), 2 * np.pi * np.sqrt(np.linalg.det(cov)) * 60
+    for r in got.itertuples():
+        d = xy - [r.x, r.y]
+        assert r.density == pytest.approx(np.exp(-0.5 * np.einsum("ij,jk,ik->i", d, inv, d)).sum() / norm, rel=1e-9, abs=1e-12)

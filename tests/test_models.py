@@ -62,8 +62,11 @@ def test_design_counts_and_scaling(data):
     raw, _, _ = arrays(data.train, "raw")
     assert x.shape[1] == len(data.design.names) == len(set(data.design.names))
     std = raw.std(axis=0)
-    np.testing.assert_allclose(x.mean(axis=0), 0, atol=1e-9)
     np.testing.assert_allclose(x.std(axis=0)[std > 0], 1, atol=1e-9)
+    centred = np.arange(x.shape[1]) < data.design.numbers
+    want = np.where(centred, raw - raw.mean(axis=0), raw)[:, std > 0] / std[std > 0]
+    np.testing.assert_allclose(x[:, std > 0], want, atol=1e-9)
+    assert {type(v).__name__ for v, in data.train.select("features").limit(50).collect()} == {"SparseVector"}
     assert np.abs(x[:, std == 0]).max() == 0
 
 
@@ -151,3 +154,48 @@ def test_principal_components_equal_numpy(spark):
     np.testing.assert_allclose(table.toPandas()["explained"], values / values.sum(), atol=1e-9)
     scores = features.project(df, model, list("abcd"), ["line_id"]).toPandas()
     np.testing.assert_allclose(scores["pc1"].var(ddof=1), values[0], rtol=1e-3)
+
+
+def test_permutations_do_not_depend_on_the_buckets(spark):
+    rng = np.random.default_rng(16)
+    x, y = rng.normal(size=(500, 3)), rng.integers(0, 2, 500).astype(float)
+    rows = [(str(i), v, t) for i, (v, t) in enumerate(zip(x.tolist(), y.tolist()))]
+    df = spark.createDataFrame(rows, "line_id string, v array<double>, y double").withColumn("features", array_to_vector("v"))
+    tables = [
+        {(r["feature"], r["repeat"]): r["decrease"] for r in diagnostics.permutation_repeats(df, list("abc"), [1, -2, 0.5], 0.1, repeats=3, bucket_rows=b).collect()}
+        for b in (10_000, 60, 7)
+    ]
+    assert len(tables[0]) == 9 and tables[0] == tables[1] == tables[2]
+    # by hand, from the order of the hashes
+    orders = df.select("line_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("repeat"))
+    orders = orders.withColumn("h", F.xxhash64(F.lit(42), "repeat", "line_id")).orderBy("repeat", "h").toPandas()
+    z, late = x @ np.array([1, -2, 0.5]) + 0.1, y == 1
+    for repeat, part in orders.groupby("repeat"):
+        order = part["line_id"].astype(int).to_numpy()
+        before = np.empty(500, int)
+        before[order] = np.roll(order, 1)
+        for j, (name, w) in enumerate(zip("abc", (1, -2, 0.5))):
+            moved = z + (x[before, j] - x[:, j]) * w
+            want = ((z > 0) == late).mean() - ((moved > 0) == late).mean()
+            assert tables[0][name, repeat] == pytest.approx(want)
+
+
+def test_the_net_ends_by_its_tolerance_or_after_300_steps(data):
+    net = models.neural_net(len(data.design.names))
+    assert net.getMaxIter() == 300
+    steps = models.loss_curve(data.train.sparkSession, models.fit("net", net, data.train)).toPandas()
+    assert len(steps) <= 302 and steps["loss"].iloc[-1] < steps["loss"].iloc[0]
+
+
+def test_the_elbow_at_k_is_the_cost_of_the_clustering_with_k(spark):
+    lines = order_lines(spark, SMALL, catalogue.CELL_USES)
+    from parcelwise.operators import rates
+
+    cells = rates.cells(lines, min_volume=1)
+    costs = {r["k"]: r["cost"] for r in clusters.elbow(cells, catalogue.CELL_KEYS, (2, 4)).collect()}
+    points = clusters.cell_features(cells, catalogue.CELL_KEYS)
+    assigned = clusters.kmeans_assignment(cells, catalogue.CELL_KEYS).select(*catalogue.CELL_KEYS, "cluster")
+    pdf = points.join(assigned, list(catalogue.CELL_KEYS)).toPandas()
+    x = pdf[list(clusters.MEASURES)].to_numpy()
+    cost = sum(((x[pdf["cluster"] == c] - x[pdf["cluster"] == c].mean(0)) ** 2).sum() for c in range(4))
+    assert costs[4] == pytest.approx(cost, rel=1e-6) and costs[2] > costs[4]

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from parcelwise.operators import cleaning, features
 from parcelwise.plans.report import run_report
 from parcelwise.sources import sinks, wide
@@ -14,7 +16,7 @@ def wide_rows(n):
     for i in range(n):
         row = {}
         for name, kind in wide.WIDE_COLUMNS.items():
-            if kind == "int":
+            if kind in ("int", "long"):
                 row[name] = str(i % 3)
             elif kind == "double":
                 row[name] = str(round((i * 7 % 23) / 4, 2))
@@ -89,3 +91,40 @@ def test_report_over_the_wide_table(spark, tmp_path):
     assert list(done) == names
     for name in names:
         assert spark.read.option("header", True).csv(str(tmp_path / "out" / name)).count() > 0
+
+
+def test_ids_beyond_32_bits_are_kept(spark, tmp_path):
+    rows = wide_rows(6)
+    for i, r in enumerate(rows):
+        r["Order Item Id"] = r["Order Id"] = str(2**31 + i)
+    write_csv(tmp_path / "w.csv", rows)
+    df = wide.read_wide_csv(spark, str(tmp_path / "w.csv"))
+    assert {r["line_id"] for r in df.collect()} == {str(2**31 + i) for i in range(6)}
+    assert df.where("order_id is null").count() == 0
+    bad = spark.createDataFrame([("1", "7"), ("x", None), (None, "1e99x")], "line_id string, sales string")
+    assert {tuple(r) for r in wide.unparsed_numbers(bad, ["line_id", "sales"]).collect()} == {("line_id", 2, 1), ("sales", 2, 1)}
+
+
+def test_files_with_another_header_are_refused(spark, tmp_path):
+    rows = wide_rows(3)
+    write_csv(tmp_path / "a.csv", rows)
+    text = (tmp_path / "a.csv").read_text(encoding="latin1").split("\n", 1)
+    swapped = text[0].replace("Sales,Order Item Total", "Order Item Total,Sales")
+    assert swapped != text[0]
+    (tmp_path / "b.csv").write_text(swapped + "\n" + text[1], encoding="latin1")
+    for columns in (["*"], ["sales"]):
+        with pytest.raises(Exception, match="header"):
+            wide.read_wide_csv(spark, str(tmp_path)).select(*columns).collect()
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    import os
+
+    from parcelwise.functions.small import checkpointed, clear_scratch, scratch_folder
+
+    df = checkpointed(spark.range(3).withColumn("a b", spark.range(1).select("id").scalar()))
+    assert df.columns == ["id", "a b"] and df.count() == 3
+    folder = scratch_folder(spark).removeprefix("file:")
+    assert os.path.isdir(folder)
+    clear_scratch(spark)
+    assert not os.path.isdir(folder)
