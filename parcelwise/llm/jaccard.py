@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -16,8 +16,11 @@ from .storage import written
 from .tokens import balanced
 
 REMEMBERED = 300_000  # word hashes that a task keeps
-BAND_RATIO = 1.5  # a size band ends where the next starts, this much higher
+BAND_RATIO = 2  # a size band ends where the next starts, this much higher
+SPARE = 1.25  # blocks of a sketch for each that may differ
 FOLDED = 8  # 64-bit words of the sketch kept beside a document
+CHUNK_KEYS = 1 << 20  # block keys that a task sorts at once
+BROADCAST_IDS = 1 << 20  # ids broadcast to choose texts; more are joined by shuffle
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -57,43 +60,51 @@ class Bands:
     """Size bands and, for each, the number of blocks that a sketch is cut into.
 
     Sets with a similarity of at least t differ in at most (|A| + |B|)(1 - t)/(1 + t) shingles. Every shingle flips one
-    bit of a sketch, so the sketches differ in no more bits than that. Cut into one block more than that, two sketches
-    agree on a whole block. A band's cut follows from its largest size; a set that could be the smaller partner of one
-    in the next band is also cut as that band's sets are.
+    bit of a sketch, so the sketches differ in no more bits, and in no more blocks, than that. A pair meets in the band
+    of its larger set; a set that could be the smaller partner of one in the next band is also cut as that band's are.
     """
 
-    def __init__(self, similarity: Fraction, ratio: float = BAND_RATIO):
+    def __init__(self, similarity: Fraction, ratio: int = BAND_RATIO):
         self.t, self.ratio = similarity, ratio
         self.edges = [1]
-        self.known: dict[int, list[tuple[int, int]]] = {}
+        self.known: dict[int, list[tuple[int, int, int]]] = {}
 
     def differing(self, total: int) -> int:
         return int(total * (1 - self.t) / (1 + self.t))
 
-    def cuts(self, size: int) -> list[tuple[int, int]]:
-        """(band, blocks) for a set of ``size``."""
+    def cuts(self, size: int) -> list[tuple[int, int, int]]:
+        """(band, blocks, most blocks that differ) for a set of ``size``."""
         if size in self.known:
             return self.known[size]
-        while self.edges[-1] <= 4 * size / self.t:
-            self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * self.ratio)))
-        bands = [
-            k
-            for k, (low, high) in enumerate(zip(self.edges, self.edges[1:]))
-            if low <= size < high or (low > size and size >= self.t * low)
-        ]
-        self.known[size] = [(k, self.differing(2 * (self.edges[k + 1] - 1)) + 1) for k in bands]
-        return self.known[size]
+        while self.edges[-1] <= self.ratio * size / self.t:
+            self.edges.append(self.edges[-1] * self.ratio)
+        found = []
+        for band, (low, high) in enumerate(zip(self.edges, self.edges[1:])):
+            if low <= size < high or (low > size and size >= self.t * low):
+                differing = self.differing(size + min(high - 1, int(size / self.t)))
+                found.append((band, int(SPARE * self.differing(2 * (high - 1))) + 1, differing))
+        self.known[size] = found
+        return found
 
 
 def _block_keys(x: np.ndarray, bands: Bands) -> np.ndarray:
-    """A key for each block of each cut: equal for two sets if and, but for hash collisions, only if the blocks are."""
-    place, bit = _mixed(x + np.uint64(0x632BE59BD9B4E019)), np.uint64(1) << (x & np.uint64(63))
-    keys = []
-    for band, blocks in bands.cuts(len(x)):
-        sketch = np.zeros(blocks, np.uint64)
-        np.bitwise_xor.at(sketch, (place >> np.uint64(11)) % np.uint64(blocks), bit)
-        name = np.arange(blocks, dtype=np.uint64) + np.uint64((band + 1) << 40)
-        keys.append(_mixed(_mixed(sketch) + _mixed(name)))
+    """Keys of blocks, equal for two sets if and, but for hash collisions, only if the blocks are.
+
+    A block is a wide stretch of bits with few of them set; it is kept as the XOR of a code for each flipped bit. If at
+    most d blocks differ, then of two sets' blocks in one order, the first d + 1 of each have one in common. The order
+    puts blocks with many shingles first, so that those which say little, empty ones above all, are left out. Sets that
+    must be equal to link (d = 0) need no keys.
+    """
+    place, code = _mixed(x + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(11), _mixed(x ^ np.uint64(0x8EBC6AF09C88C6E3))
+    keys = [np.empty(0, np.uint64)]
+    for band, blocks, differing in bands.cuts(len(x)):
+        if differing:
+            at = (place % np.uint64(blocks)).astype(np.int64)
+            sketch = np.zeros(blocks, np.uint64)
+            np.bitwise_xor.at(sketch, at, code)
+            name = np.arange(blocks, dtype=np.uint64) + np.uint64((band + 1) << 40)
+            key = _mixed(_mixed(sketch) + _mixed(name))
+            keys.append(key[np.lexsort((key, -np.bincount(at, minlength=blocks)))[: differing + 1]])
     return np.concatenate(keys)
 
 
@@ -168,32 +179,87 @@ def _within(similarity: Fraction) -> Column:
     return (F.least(a, b) * den >= F.greatest(a, b) * num) & (distance * (den + num) <= (a + b) * (den - num))
 
 
-def links(classes: DataFrame, docs: DataFrame, id: str, text: str, width: int, similarity: Fraction) -> DataFrame:
+def block_stars(rows: DataFrame) -> DataFrame:
+    """``(key, node, hub, k)``: within some of a task's rows at a time, the first holder of each block is its hub.
+
+    Rows of one set are one holder. ``k`` is the number of holders on the hub's own row, else 0. A block that a third
+    of all rows share leaves a task as one hub; its other holders are named beside it and aren't shuffled by the block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, tuple[int, np.ndarray]] = {}
+        held = 0
+        for batch in batches:
+            keys = batch["keys"]
+            bounds, values = keys.offsets.to_numpy(), keys.values.to_numpy()
+            for i, (row, digest) in enumerate(zip(batch["row"].to_pylist(), batch["digest"].to_pylist())):
+                if digest is not None and digest not in seen:
+                    seen[digest] = row, values[bounds[i] : bounds[i + 1]]
+                    held += bounds[i + 1] - bounds[i]
+                    if held >= CHUNK_KEYS:
+                        yield stars(seen)
+                        seen, held = {}, 0
+        if seen:
+            yield stars(seen)
+
+    def stars(seen: dict) -> pa.RecordBatch:
+        owners, blocks = zip(*seen.values())
+        key = np.concatenate([np.empty(0, np.int64), *blocks])
+        node = np.repeat(np.array(owners, np.int64), [len(x) for x in blocks])
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        first = np.flatnonzero(np.append(len(key) > 0, key[1:] != key[:-1]))
+        k = np.zeros(len(key), np.int64)
+        k[first] = size = np.diff(np.append(first, len(key)))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, np.repeat(node[first], size), k)], names=["key", "node", "hub", "k"])
+
+    return rows.select("row", "digest", "keys").mapInArrow(run, "key long, node long, hub long, k long")
+
+
+def shared_blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(key, node, hub)`` for every class that holds a block which another holds as well; the hub is one of them."""
+    stars = block_stars(rows)
+    of_key = Window.partitionBy("key")  # holds a row for each chunk of rows at most
+    hubs = stars.where("k > 0").withColumns({"hub": F.min("node").over(of_key), "holders": F.sum("k").over(of_key)})
+    found = hubs.where("holders > 1").select("key", "node", "hub").unionByName(stars.where("k = 0").select("key", "node", "hub"))
+    found = written(found, "stars")
+    named = rows.select("row", "digest").join(classes.select("digest", F.col("node").alias("class")), "digest")
+    for end in ("node", "hub"):
+        found = found.join(named.select(F.col("row").alias(end), "class"), end).drop(end).withColumnRenamed("class", end)
+    return written(found.groupBy("key", "node").agg(F.min("hub").alias("hub")), "blocks")
+
+
+def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
+    """``(node, shingles)`` of some classes, from the texts of rows with their ids; a row may come more than once."""
+    wanted = written(classes.join(nodes, "node").select("node", "id", "digest"), "wanted")
+    texts = docs.select(docs[id].cast("long").alias("id"), docs[text].cast("binary").alias("text"))
+    ids = wanted.select("id").distinct()
+    # the join only chooses rows; with few ids the texts need no shuffle for it
+    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    # a row that shares the id but not the set is recognised by its digest
+    return written(shingle_sets(texts, width).join(wanted, "digest").select("node", "shingles"), "sets")
+
+
+def links(rows: DataFrame, classes: DataFrame, docs: DataFrame, id: str, text: str, width: int, similarity: Fraction) -> DataFrame:
     """Linked pairs ``(u, v)`` that connect the same classes as all links do.
 
-    Rows of ``classes`` are distinct sets. First every holder of a block is checked against the block's smallest and
-    largest holder, which is linear in the block's size. What links is one component from then on. Then, in blocks that
-    still span several components, every pair of different components is checked. So no link between components is
-    missed, and pairs inside a component, of which a large group has many, are not formed.
+    Rows of ``classes`` are distinct sets. First every class is checked against one hub, that of the most blocks it
+    shares: at most as many pairs as classes. What links is one component from then on. Then each block that still spans
+    several components tries a pair of neighbouring ones, chosen by hash, so that large parts of a group meet. At last, in blocks that even then span several, every pair of different components is checked. So no link
+    between components is missed, and pairs inside a component, of which a large group has many, are not formed.
     """
     num, den = similarity.numerator, similarity.denominator
-    held = classes.select("node", F.explode("keys").alias("key"))
-    ends = held.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = written(held.join(ends, "key"), "blocks")  # the holders of blocks that have two or more
+    shared = shared_blocks(rows, classes)
     about = classes.select("node", "n", "folded")
 
     def side(name: str) -> DataFrame:
         return about.select(*[F.col(c).alias(f"{name}_{c}") for c in about.columns]).withColumnRenamed(f"{name}_node", name)
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b) that the sketches leave over, with ``linked``."""
+        """The distinct pairs (a, b), with ``linked``."""
         left = written(pairs, "pairs")
         nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-        wanted = classes.join(nodes, "node").select("node", "id", "digest")
-        texts = docs.select(docs[id].cast("long").alias("id"), docs[text].cast("binary").alias("text"))
-        # a row that shares the id but not the set is recognised by its digest
-        sets = shingle_sets(texts.join(wanted.select("id").distinct(), "id", "left_semi"), width)
-        sets = written(sets.join(wanted, "digest").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+        sets = _sets_of(nodes, classes, docs, id, text, width)
         both = (
             left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b")
@@ -203,31 +269,48 @@ def links(classes: DataFrame, docs: DataFrame, id: str, text: str, width: int, s
         return written(both.select("a", "b", (den * F.col("common") >= num * union).alias("linked")), "links")
 
     near = _within(similarity)
-    star = shared.select(F.explode(F.array("low", "high")).alias("a"), F.col("node").alias("b")).where("a <> b")
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    star = star.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
-    first = checked(star)
-    edges = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = components(edges)
-
-    named = shared.select("key", "node").join(found, "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
-    spans = named.groupBy("key").agg(
-        F.min("component").alias("low"),
-        F.max("component").alias("high"),
-        F.count("*").alias("k"),
-        F.bit_xor(F.xxhash64("node")).alias("x"),
-        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
-    )
-    # blocks with the same holders give the same pairs
-    split = spans.where("low < high").groupBy("k", "x", "y").agg(F.min("key").alias("key")).where("k > 2")
-    open_ = written(named.join(split.select("key"), "key").join(about, "node"), "open")
-    a = open_.select("key", *[F.col(c).alias(f"a_{c}") for c in ("node", "component", "n", "folded")])
-    b = open_.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "component", "n", "folded")])
+    votes = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    star = votes.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
+    star = star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    first = checked(star.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"))
+
+    def spanning(edges: DataFrame) -> DataFrame:
+        """``(key, node, component, n, folded)``: the holders of blocks that lie in several components."""
+        named = shared.select("key", "node").join(components(edges), "node", "left")
+        named = named.withColumn("component", F.coalesce("component", "node"))
+        spans = named.groupBy("key").agg(
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.count("*").alias("k"),
+            F.bit_xor(F.xxhash64("node")).alias("x"),
+            F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        )
+        # blocks with the same holders give the same pairs
+        split = spans.where("low < high").groupBy("k", "x", "y").agg(F.min("key").alias("key"))
+        return written(named.join(split.select("key"), "key").join(about, "node"), "spanning")
+
+    def ends(of: DataFrame, name: str) -> DataFrame:
+        return of.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "component", "n", "folded")])
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return pairs.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    edges = linked(first)
+    holders = spanning(edges)
+    one = F.struct(F.xxhash64("key", "node").alias("h"), "node", "n", "folded")
+    chosen = holders.groupBy("key", "component").agg(F.min(one).alias("this"))
+    chosen = chosen.withColumn("last", F.lag("this").over(Window.partitionBy("key").orderBy("component"))).where("last is not null")
+    tried = chosen.select(*[F.col(f"{s}.{c}").alias(f"{e}_{c}") for s, e in (("last", "a"), ("this", "b")) for c in ("node", "n", "folded")])
+    tried = tried.where(near).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    second = checked(tried.join(first, ["a", "b"], "left_anti"))
+    edges = edges.unionByName(linked(second))
+
+    holders = spanning(edges)
+    a, b = ends(holders, "a"), ends(holders, "b")
     rest = a.join(b, (a["key"] == b["key"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & near)
     rest = rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    second = checked(rest.join(first, ["a", "b"], "left_anti"))
-    return edges.unionByName(second.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    third = checked(rest.join(first.unionByName(second), ["a", "b"], "left_anti"))
+    return edges.unionByName(linked(third))
 
 
 def jaccard_components(
@@ -249,10 +332,9 @@ def jaccard_components(
         F.min("id").alias("id"),
         F.first("n").alias("n"),
         F.first("folded").alias("folded"),
-        F.first("keys").alias("keys"),
     )
     classes = written(grouped, "classes")
-    found = components(links(classes, docs, id, text, width, similarity))
+    found = components(links(rows, classes, docs, id, text, width, similarity))
     named = classes.select("digest", "node", "id").join(found, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
