@@ -88,7 +88,8 @@ def page_records(pages: DataFrame) -> DataFrame:
     They agree by weak tag, by date or by payload digest only, carry another tag, come before all responses, or carry
     nothing to check.
     """
-    tag, lf = F.md5(F.coalesce("html", F.lit(""))), F.lit("\r\n")
+    pages = pages.withColumn("tag", F.md5(F.coalesce("html", F.lit(""))))
+    tag, lf = F.col("tag"), F.lit("\r\n")
     start = WARC_START + F.pmod("page_id", F.lit(97)) * 3600
     modified = F.concat(F.lit("Last-Modified: day "), F.pmod("page_id", F.lit(97)).cast("string"))
     etag = F.when(F.pmod("page_id", F.lit(5)) != 0, F.concat(F.lit('ETag: "'), tag, F.lit('"')))

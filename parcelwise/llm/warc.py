@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import written
 from .urls import LOWER, UPPER
 
 CRLF = "\r\n"
@@ -131,17 +132,20 @@ def resolve_revisits(records: DataFrame, payload: str = "payload") -> DataFrame:
     status = http_status(F.col("http"))
     headers = header_map(F.regexp_replace(F.coalesce("http", F.lit("")), r"^HTTP/[^\n]*\n", ""))
     full, revisit = (kind == "response") & F.coalesce(status == 200, F.lit(False)), (kind == "revisit") & F.coalesce(status == 304, F.lit(True))
-    some = records.select(
+    row = F.xxhash64("record_id", "target_uri", "date", "payload_digest", "http")
+    marked = records.withColumns({"row": row, "full": full, "revisit": revisit})
+    known = marked.where("full or revisit").select(
         "record_id",
         canonical_url(F.col("target_uri")).alias("url_key"),
         "date",
         headers.alias("headers"),
         F.col("payload_digest").alias("digest"),
-        full.alias("full"),
-        revisit.alias("revisit"),
-        F.col(payload).alias("payload"),
-    ).withColumn("row", F.xxhash64("record_id", "url_key", "date", "digest", F.map_entries("headers")))
-    known = some.drop("payload").where("full or revisit").withColumns({"etag": _etag(F.col("headers")), "modified": _validator(F.col("headers"), "last-modified")})
+        "full",
+        "revisit",
+        "row",
+    )
+    # read for the spans, for the windows and for the rest; payloads stay where they are
+    known = written(known.withColumns({"etag": _etag(F.col("headers")), "modified": _validator(F.col("headers"), "last-modified")}), "records")
     dated = F.col("url_key").isNotNull() & F.col("date").isNotNull()
     joined = _latest(known.where(dated))
     agree = F.coalesce(F.col("found.etag") == F.col("etag"), F.col("found.modified") == F.col("modified"), F.col("found.digest") == F.col("digest"))
@@ -158,19 +162,21 @@ def resolve_revisits(records: DataFrame, payload: str = "payload") -> DataFrame:
         F.when(resolved, F.col("found.date")).alias("response_date"),
         F.when(resolved, merged_headers(F.col("found.headers"), F.col("headers"))).alias("headers"),
     )
-    answers = some.where("full").select(F.col("record_id").alias("response_id"), F.col("row").alias("response_row"), "payload")
-    answers = answers.dropDuplicates(["response_id", "response_row"])
+    answers = marked.where("full").select(F.col("record_id").alias("response_id"), F.col("row").alias("response_row"), F.col(payload).alias("payload"))
+    if known.where("full").groupBy("record_id", "row").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        answers = answers.dropDuplicates(["response_id", "response_row"])
+    kind_of_payload = records.schema[payload].dataType
     taken = judged.where("verdict = 'resolved'").join(answers, ["response_id", "response_row"], "left")
-    rest = judged.where("verdict <> 'resolved'").withColumn("payload", F.lit(None).cast(some.schema["payload"].dataType))
+    rest = judged.where("verdict <> 'resolved'").withColumn("payload", F.lit(None).cast(kind_of_payload))
     undated = known.where(F.col("revisit") & ~dated).select(
         "record_id",
         "url_key",
         "date",
         F.lit("no_response").alias("verdict"),
-        F.lit(None).cast(some.schema["record_id"].dataType).alias("response_id"),
+        F.lit(None).cast(known.schema["record_id"].dataType).alias("response_id"),
         F.lit(None).cast("long").alias("response_row"),
-        F.lit(None).cast(some.schema["date"].dataType).alias("response_date"),
+        F.lit(None).cast(known.schema["date"].dataType).alias("response_date"),
         F.lit(None).cast("map<string,string>").alias("headers"),
-        F.lit(None).cast(some.schema["payload"].dataType).alias("payload"),
+        F.lit(None).cast(kind_of_payload).alias("payload"),
     )
     return taken.unionByName(rest).unionByName(undated).drop("response_row")
