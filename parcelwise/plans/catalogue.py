@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,19 @@ class Analysis:
     source: str = "lines"
 
 
+def of_rows(schema: str):
+    """A fit of no rows has no result: the decorated analysis of an empty table is an empty table."""
+
+    def decorate(run: Callable) -> Callable:
+        @wraps(run)
+        def guarded(df: DataFrame, *args) -> DataFrame:
+            return run(df, *args) if df.take(1) else df.sparkSession.createDataFrame([], schema)
+
+        return guarded
+
+    return decorate
+
+
 def _dated(df: DataFrame) -> DataFrame:
     return cleaning.with_date_parts(df)
 
@@ -89,6 +103,7 @@ def _scores(df: DataFrame) -> DataFrame:
 _scored: dict[tuple, DataFrame] = {}
 
 
+@of_rows("line_id string, model string, y int, p double, profit_ratio double")
 def _fitted_scores(df: DataFrame, *names: str) -> DataFrame:
     """The test rows as the named models score them, all four by default; fitted once for the same order lines."""
     known = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), names)
@@ -158,10 +173,12 @@ def _standardized(df: DataFrame) -> DataFrame:
     return features.standardized(_model_lines(df), model_numeric(df), keep=["line_id"])
 
 
+@of_rows("component int, explained double, cumulative double")
 def _scree(df: DataFrame) -> DataFrame:
     return features.principal_components(_model_lines(df), model_numeric(df))[1]
 
 
+@of_rows("line_id string, late_risk int, pc1 double, pc2 double")
 def _pca_projection(df: DataFrame) -> DataFrame:
     lines, numeric = _model_lines(df), model_numeric(df)
     model, _ = features.principal_components(lines, numeric)
@@ -174,6 +191,7 @@ def _logistic(df: DataFrame):
         return data, model
 
 
+@of_rows("feature string, coefficient double")
 def _lr_coefficients(df: DataFrame) -> DataFrame:
     data, model = _logistic(df)
     return models.coefficient_table(df.sparkSession, data.design.names, model)
@@ -184,11 +202,13 @@ def _tree(df: DataFrame):
         return data, models.fit("Decision Tree", models.decision_tree(), data.train)
 
 
+@of_rows("feature string, importance double")
 def _dt_importance(df: DataFrame) -> DataFrame:
     data, model = _tree(df)
     return models.importance_table(df.sparkSession, data.design.names, model)
 
 
+@of_rows("iteration int, loss double")
 def _mlp_loss(df: DataFrame) -> DataFrame:
     with preparing(df) as data:
         net = models.neural_net(len(data.design.names))
@@ -196,6 +216,7 @@ def _mlp_loss(df: DataFrame) -> DataFrame:
     return models.loss_curve(df.sparkSession, model)
 
 
+@of_rows("model string, metric string, mean double, std double")
 def _cross_validation(df: DataFrame) -> DataFrame:
     lines = _model_lines(df)
     present = [c for c in models.CATEGORIES if c in lines.columns]
@@ -204,6 +225,7 @@ def _cross_validation(df: DataFrame) -> DataFrame:
     return diagnostics.cross_validate(lines, design)
 
 
+@of_rows("feature string, repeat int, decrease double")
 def _permutation_repeats(df: DataFrame) -> DataFrame:
     with preparing(df) as data:
         model = models.fit("Logistic Regression", models.logistic_regression(data.n_train), data.train)
@@ -211,11 +233,16 @@ def _permutation_repeats(df: DataFrame) -> DataFrame:
         return checkpointed(diagnostics.permutation_repeats(data.test, data.design.names, weights, model.intercept))
 
 
+@of_rows(
+    "size_index int, share double, train_size double, "
+    "train_f1_mean double, train_f1_std double, validation_f1_mean double, validation_f1_std double"
+)
 def _learning_curve(df: DataFrame) -> DataFrame:
     with preparing(df) as data:
         return checkpointed(diagnostics.learning_curve(data))
 
 
+@of_rows("feature string, grid_index int, x double, mean_p double")
 def _partial_dependence(df: DataFrame) -> DataFrame:
     with preparing(df) as data:
         model = models.fit("Decision Tree", models.decision_tree(), data.train)
@@ -225,10 +252,20 @@ def _partial_dependence(df: DataFrame) -> DataFrame:
         return checkpointed(curves)
 
 
+@of_rows(
+    "order_region string, category_name string, late_risk_rate double, avg_scheduled_days double, avg_sales double, "
+    "order_volume long, cluster int"
+)
 def _kmeans(df: DataFrame) -> DataFrame:
     return clusters.kmeans_assignment(rates.cells(df), CELL_KEYS)
 
 
+@of_rows("k int, cost double")
+def _elbow(df: DataFrame) -> DataFrame:
+    return clusters.elbow(checkpointed(rates.cells(df)), CELL_KEYS)
+
+
+@of_rows("order_region string, category_name string, cluster int, a double, b double, silhouette double")
 def _silhouette(df: DataFrame) -> DataFrame:
     cells = checkpointed(rates.cells(df))
     assigned = clusters.kmeans_assignment(cells, CELL_KEYS).select(*CELL_KEYS, "cluster")
@@ -471,7 +508,7 @@ ANALYSES: dict[str, Analysis] = {
     # clusters
     "kmeans_assignment": Analysis(_kmeans, CELL_USES),
     "kmeans_summary": Analysis(lambda df: clusters.cluster_summary(_kmeans(df)), CELL_USES),
-    "kmeans_elbow": Analysis(lambda df: clusters.elbow(checkpointed(rates.cells(df)), CELL_KEYS), CELL_USES),
+    "kmeans_elbow": Analysis(_elbow, CELL_USES),
     "kmeans_scatter": Analysis(lambda df: clusters.scatter_series(_kmeans(df)), CELL_USES),
     "silhouette_values": Analysis(_silhouette, CELL_USES),
     "silhouette_mean": Analysis(lambda df: clusters.mean_silhouette(_silhouette(df)), CELL_USES),

@@ -305,3 +305,26 @@ def test_density_of_two_columns_equals_a_loop(spark):
     for r in got.itertuples():
         d = xy - [r.x, r.y]
         assert r.density == pytest.approx(np.exp(-0.5 * np.einsum("ij,jk,ik->i", d, inv, d)).sum() / norm, rel=1e-9, abs=1e-12)
+
+
+NO_ROWS = (
+    "risk_by_region", "risk_by_all_dims", "class_balance", "region_category_cells", "describe_by_class", "correlation_matrix",
+    "risk_mode_x_region", "transition_matrix", "status_composition", "hist_sales", "box_profit_ratio", "violin_sales", "kde_log_sales",
+    "bootstrap_rate_ci", "bootstrap_sales_ci", "daily_risk_rolling", "bullwhip_variance", "fraud_monthly", "pareto_profit",
+    "sample_scatter", "interactions", "pca_scree", "pca_projection", "stratified_split", "stratified_folds", "cell_rate_scores",
+    "roc_curve", "roc_auc", "pr_curve", "cost_curve", "calibration_curve", "confusion_matrix", "lr_coefficients", "dt_importance",
+    "model_results", "models_roc_curve", "lr_residual_kde", "cv_results", "permutation_importance", "learning_curve",
+    "partial_dependence", "kmeans_summary", "kmeans_elbow", "kmeans_scatter", "silhouette_values", "entropy_by_region", "risk_edges",
+    "eigenvector_centrality", "kaplan_meier", "survival_median",
+)
+
+
+@pytest.mark.parametrize("name", NO_ROWS)
+def test_an_empty_table_gives_an_empty_or_null_result(spark, name):
+    from parcelwise.plans.catalogue import ANALYSES
+    from parcelwise.sources.star import order_lines
+
+    analysis = ANALYSES[name]
+    lines = order_lines(spark, "/root/testdata/sf0.001", analysis.uses).limit(0)
+    found = analysis.run(lines).toPandas()
+    assert len(found) == 0 or found.select_dtypes("number").fillna(0).to_numpy().sum() == 0
