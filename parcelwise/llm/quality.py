@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import unused, written
 from .urls import LOWER, UPPER
 
 SYMBOLS = "#*$%&|<>"  # fixed
@@ -147,7 +147,8 @@ def quality_rules(
     used, whatever their names.
     """
     measured = written(_measured(docs, id, text, host), "measured")
-    often = frequent_lines(measured, min_documents, max_share)
+    # a table of its own, so that the join below is one of two scans and a hot host's rows can be split
+    often = written(frequent_lines(measured, min_documents, max_share), "frequent")
     keyed = measured.withColumns({"name": F.coalesce("host", F.lit("")), "none": F.col("host").isNull()})
     joined = keyed.join(often, ["name", "none"], "left")
     gone = F.filter("lines", lambda x: F.coalesce(F.array_contains(F.col("frequent"), x["h"]), F.lit(False)))
@@ -175,7 +176,8 @@ def quality_rules(
 
 def without_lines(docs: DataFrame, verdicts: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the removed lines of each document cut out of its text; ids must be unique. Null texts stay null."""
-    removed = verdicts.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    joined = docs.join(removed, docs[id] == removed["_id"], "left")
-    left = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains("_removed", F.xxhash64(_normalised_line(x))), F.lit(False)))
-    return joined.withColumn(text, F.array_join(left, "\n")).drop("_id", "_removed")
+    key, gone = unused(docs, "removed_id"), unused(docs, "removed_lines")
+    removed = verdicts.select(F.col("doc_id").alias(key), F.col("removed").alias(gone))
+    joined = docs.join(removed, docs[id] == removed[key], "left")
+    cut = lambda x: F.coalesce(F.array_contains(gone, F.xxhash64(_normalised_line(x))), F.lit(False))
+    return joined.withColumn(text, F.array_join(F.filter(F.split(text, "\n"), lambda x: ~cut(x)), "\n")).drop(key, gone)
