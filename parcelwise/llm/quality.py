@@ -121,6 +121,8 @@ def frequent_lines(measured: DataFrame, min_documents: int, max_share: float) ->
     distinct = written(distinct, "lines")
     sizes = distinct.groupBy("name", "none").agg(F.count("*").alias("documents")).where(F.col("documents") >= min_documents)
     counts = distinct.select("name", "none", F.explode("lines").alias("h")).groupBy("name", "none", "h").agg(F.count("*").alias("n"))
+    # no host's limit is lower than this: lines that are rarer need not meet their host's size
+    counts = counts.where(F.col("n") > max_share * min_documents)
     often = counts.join(sizes, ["name", "none"]).where(F.col("n") > max_share * F.col("documents"))
     return often.groupBy("name", "none").agg(F.collect_list("h").alias("frequent"))
 
