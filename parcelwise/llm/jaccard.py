@@ -20,6 +20,7 @@ BAND_RATIO = 2  # a size band ends where the next starts, this much higher
 SPARE = 1.25  # blocks of a sketch for each that may differ
 FOLDED = 8  # 64-bit words of the sketch kept beside a document
 CHUNK_KEYS = 1 << 20  # block keys that a task sorts at once
+ATTEMPTS = 2  # rounds of single pairs before all pairs of what is left
 BROADCAST_IDS = 1 << 20  # ids broadcast to choose texts; more are joined by shuffle
 
 
@@ -245,7 +246,8 @@ def links(rows: DataFrame, classes: DataFrame, docs: DataFrame, id: str, text: s
 
     Rows of ``classes`` are distinct sets. First every class is checked against one hub, that of the most blocks it
     shares: at most as many pairs as classes. What links is one component from then on. Then each block that still spans
-    several components tries a pair of neighbouring ones, chosen by hash, so that large parts of a group meet. At last, in blocks that even then span several, every pair of different components is checked. So no link
+    several components tries one holder of each against one of its largest, a few times, so that large parts of a group
+    meet. At last, in blocks that even then span several, every pair of different components is checked. So no link
     between components is missed, and pairs inside a component, of which a large group has many, are not formed.
     """
     num, den = similarity.numerator, similarity.denominator
@@ -295,22 +297,26 @@ def links(rows: DataFrame, classes: DataFrame, docs: DataFrame, id: str, text: s
     def linked(pairs: DataFrame) -> DataFrame:
         return pairs.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    edges = linked(first)
-    holders = spanning(edges)
-    one = F.struct(F.xxhash64("key", "node").alias("h"), "node", "n", "folded")
-    chosen = holders.groupBy("key", "component").agg(F.min(one).alias("this"))
-    chosen = chosen.withColumn("last", F.lag("this").over(Window.partitionBy("key").orderBy("component"))).where("last is not null")
-    tried = chosen.select(*[F.col(f"{s}.{c}").alias(f"{e}_{c}") for s, e in (("last", "a"), ("this", "b")) for c in ("node", "n", "folded")])
-    tried = tried.where(near).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
-    second = checked(tried.join(first, ["a", "b"], "left_anti"))
-    edges = edges.unionByName(linked(second))
+    seen, edges = first, linked(first)
+    for attempt in range(ATTEMPTS):
+        # in each block, a holder of every component against one of the component that holds most of it
+        one = F.struct(F.xxhash64("key", "node", F.lit(attempt)).alias("h"), "node", "n", "folded")
+        chosen = spanning(edges).groupBy("key", "component").agg(F.count("*").alias("size"), F.min(one).alias("b"))
+        most = F.max_by(F.struct("component", "b"), F.struct("size", -F.col("component"))).over(Window.partitionBy("key"))
+        tried = chosen.withColumn("most", most).where(F.col("component") != F.col("most.component"))
+        sides = [F.col(f"{s}.{c}").alias(f"{e}_{c}") for s, e in (("most.b", "a"), ("b", "b")) for c in ("node", "n", "folded")]
+        tried = tried.select(*sides).where(near).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+        found = checked(tried.distinct().join(seen, ["a", "b"], "left_anti"))
+        seen, edges = seen.unionByName(found), edges.unionByName(linked(found))
+        if not found.where("linked").take(1):
+            break
 
     holders = spanning(edges)
     a, b = ends(holders, "a"), ends(holders, "b")
     rest = a.join(b, (a["key"] == b["key"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & near)
     rest = rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    third = checked(rest.join(first.unionByName(second), ["a", "b"], "left_anti"))
-    return edges.unionByName(linked(third))
+    last = checked(rest.join(seen, ["a", "b"], "left_anti"))
+    return edges.unionByName(linked(last))
 
 
 def jaccard_components(
