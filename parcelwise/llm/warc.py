@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +13,10 @@ from .urls import LOWER, UPPER
 
 CRLF = "\r\n"
 SPAN_SECONDS = 86_400  # captures of a url are sorted in spans of a day
-VERSION = "WARC/1.1"
+VERSION = "WARC/1."  # begins a record; the digit that follows, 0 or 1, is part of its first line
+HEADER_BYTES = 1 << 16  # a longer record header raises
+FIRST_LINE = re.compile(r"[01]\r\n")
+LENGTH = re.compile(r"^Content-Length:[ \t]*(\d+)", re.I | re.M)
 
 #: Header fields of a 304 that don't replace those of the stored response: fields of the message itself and of the
 #: connection, and those that describe a body that the 304 doesn't have. Fixed values.
@@ -33,19 +39,74 @@ TRACKING = r"^(utm_[^=]*|fbclid|gclid|ref)(=|$)"  # query fields that don't name
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records ``(file, header, block, whole)`` of uncompressed or gzip WARC files.
+    """Records ``(file, header, block, whole)`` of uncompressed or gzip WARC files of the versions 1.0 and 1.1.
 
-    Splits at the version line, so that an uncompressed file is read by many tasks. ``whole`` is false where the block
-    is shorter than its Content-Length says, as when a payload holds a version line itself or a file was cut.
+    Files are read in pieces between version marks, so that an uncompressed file is read by many tasks. Which marks begin
+    a record is told by the Content-Length of the record before: a task walks over the headers and sizes of a file's
+    pieces, not over its blocks, and pieces of a record that holds a mark itself are joined. ``whole`` is false where a
+    file ends inside its last record. A file whose records don't add up to it raises.
     """
-    lines = spark.read.option("lineSep", f"{VERSION}{CRLF}").text(path).select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("raw"))
-    text = F.decode(F.col("raw"), "ISO-8859-1")  # a character for each byte
+    lines = spark.read.option("lineSep", VERSION).text(path)
+    pieces = lines.select(
+        F.input_file_name().alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("id"),
+        F.col("value").cast("binary").alias("raw"),
+    )
+    pieces = written(pieces, "pieces")  # ids must be the same when the pieces are read again
+    text = F.decode(F.substring("raw", 1, HEADER_BYTES), "ISO-8859-1")  # a character for each byte
     end = F.locate(CRLF * 2, text)
-    head = F.substring(text, F.lit(1), end - 1)
-    length = F.try_to_number(F.regexp_extract(head, r"(?im)^Content-Length:\s*(\d+)", 1), F.lit("9" * 15)).cast("long")
-    some = lines.where(F.octet_length("raw") > 0).select("file", header_map(head).alias("header"), F.col("raw"), end.alias("end"), length.alias("length"))
-    block = F.substring(F.col("raw"), F.col("end") + 4, F.coalesce(F.col("length").cast("int"), F.lit(0)))
-    return some.select("file", "header", block.alias("block"), F.coalesce(F.octet_length(block) == F.col("length"), F.lit(False)).alias("whole"))
+    heads = pieces.select("file", "split", "id", F.octet_length("raw").cast("long").alias("size"), F.when(end > 0, F.substring(text, F.lit(1), end + 3)).otherwise(text).alias("head"))
+    shape = "file string, id long, first long, n long, head string, start long, length long"
+    found = pieces.join(heads.groupBy("file").applyInArrow(_walk, shape), ["file", "id"])
+    told = ("head", "start", "length")
+    one = found.where("n = 1").select("file", "raw", *told)
+    parts = F.sort_array(F.collect_list(F.struct("split", "id", F.hex("raw").alias("raw"))))
+    many = found.where("n > 1").groupBy("file", "first").agg(parts.alias("parts"), *[F.max(c).alias(c) for c in told])
+    raw = F.unhex(F.array_join(F.transform("parts", lambda x: x["raw"]), VERSION.encode().hex()))
+    some = one.unionByName(many.select("file", raw.alias("raw"), *told))
+    block = F.substring(F.col("raw"), F.col("start").cast("int") + 1, F.coalesce(F.col("length").cast("int"), F.lit(0)))
+    return some.select("file", header_map(F.col("head")).alias("header"), block.alias("block"), F.coalesce(F.octet_length(block) == F.col("length"), F.lit(False)).alias("whole"))
+
+
+def _walk(table: pa.Table) -> pa.Table:
+    """For each piece of a file the first piece of its record; for those the record's header and its block's place."""
+    table = table.sort_by([("split", "ascending"), ("id", "ascending")])
+    file, ids, sizes, heads = (table[c].to_pylist() for c in ("file", "id", "size", "head"))
+    out: list[tuple] = []
+
+    def wrong(why: str) -> ValueError:
+        return ValueError(f"{file[0]}: {why} at byte {sum(sizes[:first]) + len(VERSION) * (first - 1)}")
+
+    first, last = 1, len(ids)
+    if sizes[0]:
+        raise ValueError(f"{file[0]}: does not begin with {VERSION}")
+    while first < last:
+        k, head, size, length = first, heads[first], sizes[first], None
+        if not FIRST_LINE.match(head) and first + 1 < last:
+            raise wrong("no version line")
+        while CRLF * 2 not in head and k + 1 < last:  # the header itself holds a mark
+            if len(head) < size:
+                raise wrong(f"header of more than {HEADER_BYTES} bytes")
+            k += 1
+            head, size = head + VERSION + heads[k], size + len(VERSION) + sizes[k]
+        head, mark, _ = head.partition(CRLF * 2)
+        start = len(head) + len(mark)
+        if mark:
+            if not (m := LENGTH.search(head)):
+                raise wrong("no Content-Length")
+            length = int(m[1])
+            while size < start + length and k + 1 < last:
+                k += 1
+                size += len(VERSION) + sizes[k]
+            rest = size - start - length
+            if rest > len(CRLF * 2) or rest != len(CRLF * 2) and k + 1 < last:
+                raise wrong(f"Content-Length {length} does not end at the next record")
+        n = k + 1 - first
+        out += [(file[0], ids[first + j], ids[first], n, *((head, start, length) if not j else (None,) * 3)) for j in range(n)]
+        first = k + 1
+    types = {"file": pa.string(), "id": pa.int64(), "first": pa.int64(), "n": pa.int64(), "head": pa.string(), "start": pa.int64(), "length": pa.int64()}
+    return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(types.items())})
 
 
 def header_map(block: Column) -> Column:

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import datetime as dt
+import gzip
 import zlib
 from fractions import Fraction
 
@@ -387,3 +388,26 @@ def test_warc_files(spark, tmp_path):
     got = sorted((r["header"]["warc-target-uri"], r["header"]["warc-type"], bytes(r["block"]), r["whole"]) for r in warc.read_warc(spark, str(tmp_path)).collect())
     assert got[0] == ("http://a/", "response", b"HTTP/1.1 200 OK\r\n\r\n\xff\x00x", True)
     assert got[1][1:] == ("revisit", b"", True) and got[2][0] == "http://b/" and not got[2][3]
+
+
+def test_warc_files_of_both_versions_that_hold_version_lines(spark, tmp_path):
+    def record(n, block, version="1.0", more=""):
+        return f"WARC/{version}\r\nWARC-Target-URI: u{n}\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    blocks = [b"one", b"a\r\n\r\nWARC/1.1\r\nContent-Length: 1\r\n\r\nb WARC/1.0", b"", b"\xff WARC/1.1\r\n", b"WARC/1.", b"last"]
+    whole = b"".join(record(i, x, "1.0" if i != 3 else "1.1", "X: WARC/1.0 y\r\n" if i == 2 else "") for i, x in enumerate(blocks))
+    (tmp_path / "a.warc").write_bytes(whole)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(whole))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (old, "64b"):  # many splits of the plain file
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = warc.read_warc(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        for end in ("a.warc", "b.warc.gz"):
+            got = sorted((r["header"]["warc-target-uri"], bytes(r["block"]), r["whole"]) for r in rows if r["file"].endswith(end))
+            assert got == [(f"u{i}", x, True) for i, x in enumerate(blocks)]
+    (tmp_path / "c.warc").write_bytes(whole.replace(b"Content-Length: 3\r\n", b"Content-Length: 2\r\n", 1))
+    with pytest.raises(Exception, match="does not end at the next record"):
+        warc.read_warc(spark, str(tmp_path / "c.warc")).collect()
