@@ -125,14 +125,16 @@ def turns_of_frame(records: DataFrame, id: str, layouts=LAYOUTS) -> DataFrame:
 
 
 def _json_paths(record: Column) -> Column:
-    """The field paths of a JSON object, with those of the first object in each array, as a sorted array of strings."""
+    """The field paths of a JSON object, with those of all objects in each array, as a sorted array of strings.
+
+    An empty array is the path ``name[]``. An array with anything but objects is a path without leaves.
+    """
 
     def below(key: Column) -> Column:
         value = F.try_element_at(F.from_json(record, "map<string,string>"), key)
-        inner = F.transform(
-            F.map_keys(F.get(F.from_json(value, "array<map<string,string>>"), 0)),
-            lambda k: F.concat(key, F.lit("[]."), k),
-        )
+        items = F.from_json(value, "array<map<string,string>>")
+        leaves = F.array_distinct(F.flatten(F.transform(items, lambda x: F.map_keys(x))))
+        inner = F.when(F.size(items) == 0, F.array(F.concat(key, F.lit("[]")))).otherwise(F.transform(leaves, lambda k: F.concat(key, F.lit("[]."), k)))
         return F.when(F.ltrim(value).startswith("["), F.coalesce(inner, F.array(key))).otherwise(F.array(key))
 
     keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
@@ -143,7 +145,8 @@ def turns_of_json(records: DataFrame, id: str, json: str, layouts=LAYOUTS) -> Da
     """``(id, schema, turns)`` of JSON records of any mix of layouts.
 
     Each record's field paths are hashed and the hash selects the mapping. ``turns`` is null where no layout fits or
-    the text is no JSON object; ``schema``, the hash, tells which layouts are missing. A null record has neither.
+    the text is no JSON object; ``schema``, the hash, tells which layouts are missing. A null record has neither. An
+    array whose objects have different fields has the paths of all of them; an empty one gives no turns.
     """
     text = records[json]
     one = records.select(records[id].alias("id"), text.alias("record"), F.sha2(F.array_join(_json_paths(text), "\n"), 256).alias("schema"))
@@ -158,7 +161,8 @@ def turns_of_json(records: DataFrame, id: str, json: str, layouts=LAYOUTS) -> Da
         found = _turns(layout, field, lambda x, k: F.try_element_at(x, F.lit(k)))
         if layout.order:
             continue  # rows of a table, not a record
-        turns = F.when(F.col("schema").isin(layout.prints()), found).otherwise(turns)
+        prints = layout.prints() + ([fingerprint([f"{layout.messages[0]}[]"])] if layout.messages else [])
+        turns = F.when(F.col("schema").isin(prints), found).otherwise(turns)
     return one.select("id", F.when(F.col("record").isNotNull(), F.col("schema")).alias("schema"), turns.alias("turns"))
 
 

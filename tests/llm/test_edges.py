@@ -411,3 +411,13 @@ def test_warc_files_of_both_versions_that_hold_version_lines(spark, tmp_path):
     (tmp_path / "c.warc").write_bytes(whole.replace(b"Content-Length: 3\r\n", b"Content-Length: 2\r\n", 1))
     with pytest.raises(Exception, match="does not end at the next record"):
         warc.read_warc(spark, str(tmp_path / "c.warc")).collect()
+
+
+def test_arrays_of_mixed_objects_fit_no_layout(spark):
+    a, b = '{"role": "user", "content": "q"}', '{"from": "gpt", "value": "a"}'
+    more = '{"role": "assistant", "content": "a", "tool": "t"}'
+    arrays = ["", a, f"{a}, {b}", f"{a}, {more}", f'{a}, "x"', f"{a}, null", f'{a}, {{"role": "user", "content": "q"}}']
+    frame = spark.createDataFrame([(i, f'{{"messages": [{x}]}}') for i, x in enumerate(arrays)], "id long, json string")
+    got = {r["id"]: r for r in chat.turns_of_json(frame, "id", "json").collect()}
+    turns = [got[i]["turns"] and [tuple(t) for t in got[i]["turns"]] for i in range(len(arrays))]
+    assert turns == [[], [("user", "q")], None, None, None, None, [("user", "q")] * 2] and all(r["schema"] for r in got.values())
