@@ -45,7 +45,7 @@ CLOSES = {
     "body": ({"head"}, set()),
 }
 # Elements, and words of class, id and role, that never hold main text.
-DROPPED = frozenset("head script style noscript template nav footer aside form button select iframe svg canvas dialog menu object".split())
+DROPPED = frozenset("head script style noscript template nav footer aside button select iframe svg canvas dialog menu object".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notices alert popup modal overlay sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer comment comments "
@@ -54,15 +54,16 @@ MARKS = frozenset(
 )
 HEADERS = frozenset(("header", "masthead"))
 BESIDE = frozenset("with without has no".split())  # a class such as with-sidebar names what stands elsewhere
+CONTROLS = frozenset("label legend textarea input datalist output".split())  # of a form; its others are in DROPPED
 DEEPEST = 300  # elements nested deeper lie flat in the one at this depth
-KEEPS, HARD, SOFT, HEAD = range(4)  # what a node is: kept, dropped by its element, dropped by its words, a header
+KEEPS, HARD, SOFT, HEAD, FORM = range(5)  # what a node is: kept, dropped by its element, dropped by its words, a header, a form
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[a-z]+")
 
@@ -81,14 +82,19 @@ class Node:
 @lru_cache(4096)
 def _kind(tag: str, attributes: str) -> tuple[str, int, bool]:
     """(label, kind, main) of a start tag."""
-    found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):  # whole attributes, so that values aren't taken for names
+        found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     names = [set(WORDS.findall(x)) for k in ("class", "id", "role") for x in found.get(k, "").split()]
     words = {w for x in names if not x & BESIDE for w in x}
     main = tag in ("article", "main") or found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody"
     label = f"{tag}.{found['class']}" if found.get("class") else tag
     kind = KEEPS
-    if tag in DROPPED or "hidden" in found or found.get("aria-hidden") == "true":
+    hidden = "hidden" in found or found.get("aria-hidden") == "true"
+    if tag in DROPPED or hidden and tag not in ("html", "body"):
         kind = HARD
+    elif tag == "form":
+        kind = FORM
     elif words & MARKS and tag not in ("html", "body", "main"):
         kind = SOFT
     elif tag == "header" or words & HEADERS and not main:
@@ -100,6 +106,7 @@ def parsed(page: str) -> Node:
     """The tree of a page. Tags that are missing, or close nothing, are mended as browsers do in the usual cases."""
     root = Node("#root", "#root")
     open_ = [root]
+    forms = False
     at, end = 0, len(page)
 
     def add(text: str) -> None:
@@ -139,6 +146,7 @@ def parsed(page: str) -> Node:
             continue
         node = Node(tag, *_kind(tag, m[3]))
         open_[-1].kids.append(node)
+        forms = forms or tag == "form"
         if tag in RAW:
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             if tag in ("textarea", "title"):
@@ -147,9 +155,45 @@ def parsed(page: str) -> Node:
         elif tag not in VOID and not m[3].endswith("/") and len(open_) < DEEPEST:
             open_.append(node)
     add(page[at:])
+    if forms:
+        _open_forms(root)
     return root
 
 
+def _open_forms(root: Node) -> None:
+    """Keeps forms that wrap a page, as some servers write them, without their controls.
+
+    They are those that hold an article or main element, or over half of the text outside parts that are always dropped.
+    """
+    inside: list[tuple[Node, list]] = []  # the forms and, for each, (characters, has a main part)
+    total = 0
+    todo: list[tuple[Node, list[list]]] = [(root, [])]
+    while todo:
+        n, around = todo.pop()
+        if n.tag is None:
+            size = len(n.text.strip())
+            total += size
+            for state in around:
+                state[0] += size
+        elif n.kind == FORM:
+            inside.append((n, [0, False]))
+            todo += [(k, [*around, inside[-1][1]]) for k in n.kids]
+        elif n.kind != HARD and n.tag not in CONTROLS:
+            for state in around:
+                state[1] = state[1] or n.main
+            todo += [(k, around) for k in n.kids]
+    for form, (size, main) in inside:
+        if main or 2 * size > total:
+            form.kind = KEEPS
+            todo = [(k, []) for k in form.kids]
+            while todo:
+                n, _ = todo.pop()
+                if n.tag in CONTROLS:
+                    n.kind = HARD
+                elif n.tag and n.tag != "form":
+                    todo += [(k, []) for k in n.kids]
+
+
 def signed(node: Node) -> Node:
     """The tree with a hash of its labels below each node."""
     todo = [(node, False)]
@@ -263,7 +307,7 @@ def _regions(page: Node) -> list[Node]:
     todo = [(page, False, False, False)]
     while todo:
         n, soft, in_main, in_article = todo.pop()
-        if n.kind == HARD:
+        if n.kind in (HARD, FORM):
             continue
         soft = soft or n.kind == SOFT
         article = n.tag == "article"
@@ -344,7 +388,7 @@ def extract(
     The page is aligned with its host's wrapper, and blocks of the host's template go. Of the slots that vary,
     those inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go, as
     their elements or class, id and role words tell; if the page has an article or main element, the rest must be
-    inside. Character references are decoded, white space runs inside a block become one space, blocks are joined by
+    inside. A form that wraps the page's text loses its controls only. Character references are decoded, white space runs inside a block become one space, blocks are joined by
     one space. Nothing else is dropped, and no length is capped.
 
     Hosts with fewer than ``min_pages`` pages, and pages without a host, have no template. A null or empty page has the

@@ -199,6 +199,26 @@ def test_wrappers_are_the_same_when_joined_by_shuffle(spark, monkeypatch):
     assert sorted(extraction.extract(frame).collect()) == want
 
 
+def test_attributes_count_by_their_whole_names():
+    text = lambda page: extraction.main_text(extraction.parsed(page), set())
+    for attributes in ('style="overflow:hidden"', 'title="hidden role=navigation"', "data-hidden=false", 'data-role="navigation" data-id=footer', "x=hidden"):
+        assert text(f"<body {attributes}><div {attributes}>a</div><article {attributes}>b</article></body>") == "b"
+        assert text(f"<div {attributes}>a</div>") == "a"
+    for attributes in ("hidden", 'data-x="y" HIDDEN=""', "x=1 hidden", 'aria-hidden="true"', 'title="a b"hidden', "id=footer", "role = 'navigation'"):
+        assert text(f"<div {attributes}>a</div><p>b</p>") == "b"
+    assert text("<html hidden><body hidden>a</body></html>") == "a"
+
+
+def test_forms_around_a_page_lose_their_controls_only():
+    text = lambda page: extraction.main_text(extraction.parsed(page), set())
+    controls = "<label>Name</label><input><textarea>t</textarea><select><option>o</select><button>Go</button>"
+    assert text(f"<body><form id=aspnet>{controls}<nav>n</nav><article><p>Main</article></form></body>") == "Main"
+    assert text(f"<body><form class=search>{controls}<p>All of it stands here</form><p>Rest</body>") == "All of it stands here Rest"
+    assert text(f"<body><p>A text that is longer</p><form>{controls}<p>Your mail</form></body>") == "A text that is longer"
+    assert text(f"<article><p>A text that is longer<form>{controls}Mail</form></article><form>{controls}</form>") == "A text that is longer"
+    assert text(f"<form>{controls}</form>") == text("<form hidden><article>a</article></form>") == ""
+
+
 def test_simple_tree_matching_pairs_the_most_nodes():
     a, b = (extraction.signed(extraction.parsed(t)) for t in ("<ul><li>1<li><b>2</b><li>3</ul>", "<ul><li>x<li>3</ul>"))
     pairs = extraction.matched(a, b, {})[1]
