@@ -18,6 +18,8 @@ from .urls import host_of
 address = id  # of a node; parameters below are named id
 
 MIN_PAGES = 8  # that must agree on a text before it counts as template
+SHARE = 0.9  # of the distinct pages that have a place for a text; fewer make it a place that varies
+LAYOUT_LEVELS = 3  # of blocks below the body that tell a host's layouts apart
 BROADCAST_BYTES = 32 << 20  # of wrappers; more are joined by host
 
 # Fixed values of HTML.
@@ -321,9 +323,33 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(_plain(text)) >> 1
 
 
+def _layout(root: Node) -> int:
+    """A hash of which blocks a page has near its root: the labels of its first three levels, each once."""
+    found: set[str] = set()
+    todo = [(root, 0)]
+    while todo:
+        n, depth = todo.pop()
+        if n.tag and n.tag not in INLINE and n.tag != "head":
+            deeper = depth + (n.tag not in ("#root", "html", "body"))
+            if deeper > depth:
+                found.add(f"{depth} {n.label}")
+            if deeper < LAYOUT_LEVELS and not n.main:
+                todo += [(k, deeper) for k in n.kids]
+    return xxhash.xxh64_intdigest("\n".join(sorted(found))) >> 1
+
+
 def _pages(pages: DataFrame, id: str, url: str, html: str) -> DataFrame:
+    """The pages with their host, layout and a hash of the page, written so that layouts are told once."""
     text = F.coalesce(pages[html], F.lit(""))
-    return pages.select(pages[id].alias("page_id"), pages[url].alias("url"), host_of(pages[url]).alias("host"), text.alias("html"))
+    rows = pages.select(pages[id].alias("page_id"), pages[url].alias("url"), host_of(pages[url]).alias("host"), text.alias("html"), F.xxhash64(text).alias("page"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            layouts = pa.array([_layout(parsed(x.as_py())) for x in batch["html"]], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, layouts], names=[*batch.schema.names, "layout"])
+
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return written(rows.mapInArrow(run, f"{shape}, layout long"), "pages")
 
 
 def fitted(large: DataFrame, small: DataFrame, bytes: Column, on: list[str], how: str = "inner") -> DataFrame:
@@ -332,52 +358,64 @@ def fitted(large: DataFrame, small: DataFrame, bytes: Column, on: list[str], how
     return large.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, on, how)
 
 
-def wrappers(pages: DataFrame, min_pages: int) -> DataFrame:
-    """``(host, seed, template)``: a page of each host, and the numbers of its texts that are the host's template.
+def seeded(pages: DataFrame, min_pages: int) -> tuple[DataFrame, DataFrame]:
+    """The pages with the number of their seed, and ``(number, seed)``.
 
-    A host's seed is its page with the smallest hash. Every page of the host is aligned with the seed by simple tree
-    matching; a text node of the seed is template if at least ``min_pages`` distinct pages pair it and all pages that do
-    have the same text there. Tasks sum up what they align: for each seed node the least and the greatest hash of its
-    texts and the ``min_pages`` smallest hashes of pages. The shuffle holds these, not pages.
+    Each layout of a host that at least ``min_pages`` distinct pages have gets a seed, its page with the smallest hash.
+    Pages of rarer layouts go to the seed of the host's most frequent layout. A host with fewer pages has none.
+    """
+    known = pages.where("host <> '' and html <> ''").select("host", "layout", "page")
+    sizes = known.groupBy("host", "layout", "page").agg(F.lit(1).alias("n")).groupBy("host", "layout")
+    sizes = written(sizes.agg(F.count("*").alias("n"), F.min("page").alias("page")), "layouts")
+    most = F.max_by("layout", F.struct("n", "layout"))
+    hosts = sizes.groupBy("host").agg(most.alias("usual"), F.sum("n").alias("pages")).where(F.col("pages") >= min_pages).drop("pages")
+    large = sizes.join(hosts, "host").where((F.col("n") >= min_pages) | (F.col("layout") == F.col("usual")))
+    large = written(large.select("host", "layout", "page").withColumn("number", F.monotonically_increasing_id()), "large")
+    keys = large.select("host", "layout", "number")
+    usual = hosts.join(keys.withColumnRenamed("layout", "usual"), ["host", "usual"]).select("host", F.col("number").alias("other"))
+    rows = fitted(pages, written(usual, "usual"), F.octet_length("host"), ["host"], "left")
+    rows = fitted(rows, keys, F.octet_length("host"), ["host", "layout"], "left")
+    rows = rows.withColumn("number", F.when(F.col("html") != "", F.coalesce("number", "other"))).drop("other")
+    some = fitted(pages, large, F.octet_length("host"), ["host", "layout", "page"]).groupBy("number").agg(F.min("html").alias("seed"))
+    return rows, written(some, "seeds")
+
+
+def wrappers(rows: DataFrame, seeds: DataFrame, min_pages: int) -> DataFrame:
+    """``(number, seed, template)``: the seeds with their template, as a list of (text's number, hash of the text).
+
+    Every page is aligned with its seed by simple tree matching. A text of a seed's node is template if at least
+    ``min_pages`` distinct pages and ``SHARE`` of all distinct pages that pair the node have it there; pages that have
+    another text there keep theirs. The shuffle holds hashes, not pages.
     """
-    known = pages.where("host <> '' and html <> ''").select("host", "html", F.xxhash64("html").alias("page"))
-    least = known.groupBy("host").agg(F.min("page").alias("page"), F.max("page").alias("most")).where("page < most")
-    least = written(least.select("host", "page"), "least")
-    seeds = fitted(known, least, F.octet_length("host"), ["host", "page"]).dropDuplicates(["host"])
-    seeds = written(seeds.select("host", F.col("html").alias("seed")), "seeds")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, Node] = {}
-        seen: dict[tuple[str, int], list] = {}
+        trees: dict[int, Node] = {}
+        seen: set[tuple[int, int, int, int]] = set()
         for batch in batches:
-            columns = (batch[c].to_pylist() for c in ("host", "seed", "page", "html"))
-            for host, seed, page, html in zip(*columns):
-                if host not in trees:
-                    trees[host] = signed(parsed(seed))
-                for number, node in aligned(trees[host], signed(parsed(html))):
-                    text = _hash(node.text)
-                    state = seen.setdefault((host, number), [text, text, set()])
-                    state[0], state[1] = min(state[0], text), max(state[1], text)
-                    if len(state[2]) < min_pages or page < max(state[2]):
-                        state[2].add(page)
-                        if len(state[2]) > min_pages:
-                            state[2].remove(max(state[2]))
+            for seed_number, seed, page, html in zip(*(batch[c].to_pylist() for c in ("number", "seed", "page", "html"))):
+                if seed_number not in trees:
+                    if len(trees) > 1000:
+                        trees.clear()
+                    trees[seed_number] = signed(parsed(seed))
+                for node, found in aligned(trees[seed_number], signed(parsed(html))):
+                    seen.add((seed_number, node, _hash(found.text), page))
             if len(seen) > 100_000:
-                yield rows(seen)
-                seen, trees = {}, {}
-        yield rows(seen)
+                yield told(seen)
+                seen = set()
+        yield told(seen)
 
-    def rows(seen: dict) -> pa.RecordBatch:
-        values = [(*k, low, high, p) for k, (low, high, some) in seen.items() for p in some]
-        types = {"host": pa.string(), "number": pa.int64(), "low": pa.int64(), "high": pa.int64(), "page": pa.int64()}
-        return pa.RecordBatch.from_arrays([pa.array([v[i] for v in values], t) for i, t in enumerate(types.values())], names=[*types])
+    def told(seen: set) -> pa.RecordBatch:
+        names = ["number", "node", "text", "page"]
+        values = sorted(seen)
+        return pa.RecordBatch.from_arrays([pa.array([v[i] for v in values], pa.int64()) for i in range(len(names))], names=names)
 
-    found = fitted(known, seeds, F.octet_length("seed"), ["host"])
-    counted = found.mapInArrow(run, "host string, number long, low long, high long, page long")
-    ends = (F.min("low").alias("low"), F.max("high").alias("high"))
-    nodes = counted.groupBy("host", "number", "page").agg(*ends).groupBy("host", "number").agg(*ends, F.count("*").alias("n"))
-    template = nodes.where((F.col("n") >= min_pages) & (F.col("low") == F.col("high"))).groupBy("host").agg(F.collect_list("number").alias("template"))
-    return written(seeds.join(template, "host"), "wrappers")  # at most the texts of one page for each host
+    found = fitted(rows.where("number is not null").select("number", "page", "html"), seeds, F.octet_length("seed"), ["number"])
+    counted = found.mapInArrow(run, "number long, node long, text long, page long").distinct()
+    each = counted.groupBy("number", "node", "text").agg(F.count("*").alias("n"))
+    nodes = each.groupBy("number", "node").agg(F.max("n").alias("most"), F.max_by("text", "n").alias("text"), F.sum("n").alias("n"))
+    agreed = nodes.where((F.col("most") >= min_pages) & (F.col("most") >= SHARE * F.col("n")))
+    template = agreed.groupBy("number").agg(F.collect_list(F.struct("node", "text")).alias("template"))
+    return written(seeds.join(template, "number"), "wrappers")  # at most the texts of one page for each seed
 
 
 def extract(
@@ -385,7 +423,7 @@ def extract(
 ) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row: the main text and its length in code points.
 
-    The page is aligned with its host's wrapper, and blocks of the host's template go. Of the slots that vary,
+    The page is aligned with the wrapper of its layout on its host, and blocks of that template go. Of the slots that vary,
     those inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go, as
     their elements or class, id and role words tell; if the page has an article or main element, the rest must be
     inside. A form that wraps the page's text loses its controls only. Character references are decoded, white space runs inside a block become one space, blocks are joined by
@@ -395,26 +433,25 @@ def extract(
     empty text. Repeated rows each get a row. An empty table gives an empty table. Other columns aren't used, whatever
     their names.
     """
-    rows = _pages(pages, id, url, html)
-    found = wrappers(rows, min_pages)
-    joined = fitted(rows, found, F.octet_length("seed"), ["host"], "left")
+    rows, seeds = seeded(_pages(pages, id, url, html), min_pages)
+    found = wrappers(rows, seeds, min_pages)
+    joined = fitted(rows, found, F.octet_length("seed"), ["number"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, Node] = {}
+        trees: dict[int, Node] = {}
         for batch in batches:
             out = []
-            for host, seed, template, page in zip(*(batch[c].to_pylist() for c in ("host", "seed", "template", "html"))):
+            for number, seed, template, page in zip(*(batch[c].to_pylist() for c in ("number", "seed", "template", "html"))):
                 tree, gone = parsed(page), set()
                 if template:
-                    if host not in trees:
+                    if number not in trees:
                         if len(trees) > 1000:
                             trees.clear()
-                        trees[host] = signed(parsed(seed))
-                    numbers = set(template)
-                    gone = {address(n) for k, n in aligned(trees[host], signed(tree)) if k in numbers}
+                        trees[number] = signed(parsed(seed))
+                    texts = {t["node"]: t["text"] for t in template}
+                    gone = {address(n) for k, n in aligned(trees[number], signed(tree)) if k in texts and texts[k] == _hash(n.text)}
                 out.append(main_text(tree, gone))
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     shape = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string"
     return joined.mapInArrow(run, shape).withColumn("n_chars", F.length("text").cast("long"))
-

@@ -199,6 +199,17 @@ def test_wrappers_are_the_same_when_joined_by_shuffle(spark, monkeypatch):
     assert sorted(extraction.extract(frame).collect()) == want
 
 
+def test_hosts_with_two_layouts_and_an_outlier(spark):
+    one = "<div class=x><p>%s</p></div><div class=y><p>Own %d one</p></div><div class=z><p>All rights reserved</p></div>"
+    two = "<section><h2>%s</h2></section><table><tr><td>Own %d two<td>Prices without tax</table>"
+    rows = [(i, "http://h.org/%d" % i, (one if i % 2 else two) % ("Old" if i == 7 else "Home and more", i)) for i in range(60)]
+    rows += [(90, "http://h.org/x", "<ul><li>A layout of its own</ul>"), (91, "http://h.org/x", one % ("Home and more", 1))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extraction.extract(frame).collect()}
+    want = {i: f"Own {i} {'one' if i % 2 else 'two'}" for i in range(60)}
+    assert got == want | {7: "Old Own 7 one", 90: "A layout of its own", 91: "Own 1 one"}
+
+
 def test_attributes_count_by_their_whole_names():
     text = lambda page: extraction.main_text(extraction.parsed(page), set())
     for attributes in ('style="overflow:hidden"', 'title="hidden role=navigation"', "data-hidden=false", 'data-role="navigation" data-id=footer', "x=hidden"):
