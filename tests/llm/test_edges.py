@@ -261,6 +261,27 @@ def test_neighbours_fill_the_window():
     assert list(packing.in_powers([(0, 5, 6, 3, 0), (1, 0, 5, 3, 6)], 3)) == [(0, 5, 6, 3, 0), (1, 0, 2, 3, 6), (1, 2, 2, 4, 0), (1, 4, 1, 5, 0)]
 
 
+def test_seeds_are_searched_for_in_all_shards(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    topics = [rng.integers(0, 400, 30) for _ in range(12)]
+    texts = [" ".join(f"w{w}" for w in rng.choice(topics[i % 12], rng.integers(5, 60))) for i in range(40)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:3])], "doc_id long, text string").repartition(3)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    read = lambda: sorted(map(tuple, packing.pack(frame, BYTES, window=256).select(columns).collect()))
+    want = read()
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 1500)
+    monkeypatch.setattr(packing, "CHAINS", 1)
+    assert read() == want  # one chain over many shards is the same as one whole index
+    monkeypatch.setattr(packing, "CHAINS", 3)
+    monkeypatch.setattr(packing, "WINDOWS", 3)
+    got = read()
+    assert len({r[5] >> 32 for r in got}) == 3
+    lengths = {}
+    for r in got:
+        lengths[r[0]] = lengths.get(r[0], 0) + r[2]
+    assert lengths == {r[0]: r[4] for r in got} == {r[0]: r[4] for r in want}
+
+
 def test_quality_of_odd_texts(docs, none):
     got = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
     assert [got[i]["n_words"] for i in (1, 2, 3, 4, 6)] == [0, 0, 0, 1, 60_000]
