@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from fractions import Fraction
 
@@ -16,6 +17,7 @@ from .jaccard import jaccard_components
 from .mixing import mix
 from .packing import pack
 from .quality import quality_rules
+from .runs import periodic_runs
 from .tokens import token_counts
 from .urls import judge
 from .warc import resolve_revisits
@@ -137,6 +139,36 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_periodic_end(id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words; of one text in ten, told by its id's checksum, with a last part that repeats its first words."""
+    h, n = zlib.crc32(str(id).encode()) if id is not None else 1, len(words)
+    if h % 10 or not n:
+        return words
+    a, g = h // 10 % n, h // 10
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), edit=with_periodic_end)
+
+    def by_exponent(x, y):  # falling, by exact fractions
+        more = x["length"] * y["period"] - y["length"] * x["period"]
+        earlier = F.when(x["start"] != y["start"], F.signum(x["start"] - y["start"])).otherwise(F.signum(x["period"] - y["period"]))
+        return F.when(more != 0, -F.signum(more)).otherwise(earlier).cast("int")
+
+    most = F.get(F.array_sort("runs", by_exponent), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("most", most).select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col("most")[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * most.length div most.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -155,6 +187,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_source_mixing,
         op9_exact_dedup,
         op10_warc_revisits,
+        op11_periodic_runs,
         pipeline,
     )
     return {f.__name__: f for f in ops}
