@@ -21,6 +21,7 @@ from .runs import periodic_runs
 from .tokens import token_counts
 from .urls import judge
 from .warc import resolve_revisits
+from .whitening import whiten
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -169,6 +170,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), count=4).withColumnRenamed("id", "vec_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -188,6 +193,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_exact_dedup,
         op10_warc_revisits,
         op11_periodic_runs,
+        op12_embedding_whitening,
         pipeline,
     )
     return {f.__name__: f for f in ops}
