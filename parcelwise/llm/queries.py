@@ -14,6 +14,7 @@ from .chat import chat_format, conversations_from_rows, read_back, under_mask
 from .dedup import exact_duplicates
 from .extraction import extract
 from .jaccard import jaccard_components
+from .language_model import lm_scores
 from .mixing import mix
 from .packing import pack
 from .quality import quality_rules
@@ -174,6 +175,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), count=4).withColumnRenamed("id", "vec_id")
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -194,6 +199,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_warc_revisits,
         op11_periodic_runs,
         op12_embedding_whitening,
+        op13_lm_scoring,
         pipeline,
     )
     return {f.__name__: f for f in ops}

@@ -31,7 +31,7 @@ def result(spark, name):
 
 def test_every_operator_has_one_query():
     numbers = [re.match(r"op(\d+)_", n) for n in QUERIES]
-    assert sorted(int(m[1]) for m in numbers if m) == list(range(1, 13)) and "pipeline" in QUERIES
+    assert sorted(int(m[1]) for m in numbers if m) == list(range(1, 14)) and "pipeline" in QUERIES
 
 
 def test_token_counts(spark, docs):
