@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions.columns import all_present, when_count
 from parcelwise.functions.small import attach_small, checkpointed
 from parcelwise.operators.crosstab import filled
+from parcelwise.operators.gramian import masked_gramian
 from parcelwise.operators.quantiles import exact_quantiles, quartiles
 from parcelwise.operators.split import hash_cuts, within_cut
 
@@ -121,44 +122,29 @@ def describe_wide(described: DataFrame, by: str = "late_risk") -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every two columns over rows where both are present.
 
-    A constant column has null correlations. Output is long, ``(column_a, column_b, corr)``, with both halves. One
-    aggregation holds the sums of each pair; values are taken relative to the column means so that large magnitudes do
-    not cancel. Not-a-number counts as missing.
+    A constant column has null correlations. Output is long, ``(column_a, column_b, corr)``, with both halves. The sums
+    of all pairs come from one pass (:func:`masked_gramian`); values are taken relative to the column means so that large
+    magnitudes do not cancel. Not-a-number counts as missing. A table without rows gives null correlations.
     """
     columns = list(columns)
+    spark = df.sparkSession
     numbers = [F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"x{i}") for i, c in enumerate(columns)]
-    rows = df.select(*numbers)
+    rows = checkpointed(df.select(*numbers))  # both passes read these columns: derive them once
     names = rows.columns
+    stats = rows.agg(*[F.struct(F.avg(c).alias("mean"), (F.min(c) < F.max(c)).alias("varies")) for c in names]).first()
     # a constant column becomes exactly 0
-    stats = rows.agg(
-        F.struct(*[F.avg(c).alias(f"m_{c}") for c in names], *[(F.min(c) < F.max(c)).alias(f"v_{c}") for c in names])
-    ).scalar()
     zero = F.lit(0).cast("double")
-    shifted = rows.select(*[F.when(F.col(c).isNotNull(), F.when(stats[f"v_{c}"], F.col(c) - stats[f"m_{c}"]).otherwise(zero)).alias(c) for c in names])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-
-    def sums(i: int, j: int) -> Column:
-        a, b = F.col(names[i]), F.col(names[j])
-        both = a.isNotNull() & b.isNotNull()
-        here = {"n": F.lit(1).cast("double"), "sa": a, "sb": b, "saa": a * a, "sbb": b * b, "sab": a * b}
-        parts = [F.sum(F.when(both, v)).alias(k) for k, v in here.items()]
-        return F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *parts)
-
-    # each sum of products needs the null pattern of two columns only; complete columns share theirs
-    table = shifted.agg(*[sums(i, j).alias(f"s{i}_{j}") for i, j in pairs])
-    table = table.select(F.inline(F.array(*[f"s{i}_{j}" for i, j in pairs])))
-    covariance = F.col("sab") - F.try_divide(F.col("sa") * F.col("sb"), F.col("n"))
-    spread_a = F.col("saa") - F.try_divide(F.col("sa") * F.col("sa"), F.col("n"))
-    spread_b = F.col("sbb") - F.try_divide(F.col("sb") * F.col("sb"), F.col("n"))
-    corr = F.when((spread_a > 0) & (spread_b > 0), covariance / F.sqrt(spread_a * spread_b))
-    half = table.select("i", "j", corr.alias("corr"))
-    whole = half.select(
-        F.inline(F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j", "corr"))).otherwise(F.array(F.struct("i", "j", "corr"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "corr"))))
-    )
-    label = F.array(*[F.lit(c) for c in columns])
-    return whole.select(
-        label[F.col("i")].alias("column_a"), label[F.col("j")].alias("column_b"), "corr"
-    ).orderBy("column_a", "column_b")
+    levelled = [F.col(c) if s["varies"] else F.when(F.col(c).isNotNull(), zero).alias(c) for c, s in zip(names, stats)]
+    origin = [s["mean"] if s["varies"] else 0.0 for s in stats]
+    sums = masked_gramian(rows.select(*levelled), names, origin)
+    covariance = F.col("sum_ab") - F.col("sum_a") * F.col("sum_b") / F.col("n")
+    spread_a = F.col("sum_aa") - F.col("sum_a") * F.col("sum_a") / F.col("n")
+    spread_b = F.col("sum_bb") - F.col("sum_b") * F.col("sum_b") / F.col("n")
+    corr = F.when((F.col("n") > 0) & (spread_a > 0) & (spread_b > 0), covariance / F.sqrt(spread_a * spread_b))
+    half = sums.select("a", "b", corr.alias("corr"))
+    # one row for each pair
+    pairs = spark.createDataFrame([(a, b, min(i, j), max(i, j)) for i, a in enumerate(columns) for j, b in enumerate(columns)], "column_a string, column_b string, a long, b long")
+    return pairs.join(half, ["a", "b"], "left").select("column_a", "column_b", "corr").orderBy("column_a", "column_b")
 
 
 def correlation_wide(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:

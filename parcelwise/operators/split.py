@@ -51,7 +51,8 @@ def hash_cuts(
         F.col(key).cast("string").alias("_k"),
         hash_text(key, seed).alias("_h"),
     )
-    found = fetch_small(rows.groupBy("_s").agg(F.count("*").alias("n")), max_strata)
+    sized = rows.groupBy("_s").agg(F.count("*").alias("n"))
+    found = fetch_small(sized.withColumn("t", F.col("_s").cast("string")), max_strata)
     if found is None:
         raise ValueError(f"more than {max_strata} strata")
     sizes = {r["_s"]: r["n"] for r in found}
@@ -83,8 +84,7 @@ def hash_cuts(
                 passed += n
         return out
 
-    # the text by which a filter knows a stratum
-    labels = {r["_s"]: r["t"] for r in rows.select("_s").distinct().select("_s", F.col("_s").cast("string").alias("t")).collect()}
+    labels = {r["_s"]: r["t"] for r in found}  # the text by which a filter knows a stratum
     cuts: dict = {s: [Cut(None, None)] * len(ranks(n)) for s, n in sizes.items()}
     asked = {(s, ""): [(i, rank) for i, rank in enumerate(ranks(n)) if rank > 0] for s, n in sizes.items()}
     open_parts = {part: (sizes[part[0]], wanted) for part, wanted in asked.items() if wanted}

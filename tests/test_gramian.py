@@ -1,0 +1,62 @@
+"""Sums of products with gaps, and the correlations made of them, against numpy."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from parcelwise.operators import distribution
+from parcelwise.operators.gramian import masked_gramian
+
+COLUMNS = ["a", "b", "c", "flat", "void"]
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(4000, 5)) * [1, 50, 1e-3, 0, 0] + [0, 1e7, 5, 2.5, 0]
+    x[:, 2] += x[:, 0] * 1e-3
+    gap = rng.random((4000, 5)) < [0.3, 0.1, 0.0, 0.5, 1.0]
+    rows = [[None if g else float(v) for v, g in zip(r, m)] for r, m in zip(x, gap)]
+    rows[5][0] = math.nan  # missing as well
+    gap[5, 0] = True
+    x[gap] = np.nan
+    return x, spark.createDataFrame(rows, ", ".join(f"{c} double" for c in COLUMNS)).repartition(5)
+
+
+def test_sums_over_rows_with_both(table):
+    x, df = table
+    origin = [1.0, 1e7, 0.0, 2.5, 0.0]
+    got = {(r["a"], r["b"]): r for r in masked_gramian(df, COLUMNS, origin).collect()}
+    assert sorted(got) == [(i, j) for i in range(5) for j in range(i, 5)]
+    z = x - origin
+    for (i, j), r in got.items():
+        both = ~np.isnan(z[:, i]) & ~np.isnan(z[:, j])
+        a, b = z[both, i], z[both, j]
+        assert r["n"] == both.sum()
+        for name, want in (("sum_a", a.sum()), ("sum_b", b.sum()), ("sum_aa", a @ a), ("sum_bb", b @ b), ("sum_ab", a @ b)):
+            assert r[name] == pytest.approx(want, rel=1e-9, abs=1e-6)
+
+
+def test_correlations_equal_numpy(table):
+    x, df = table
+    got = {(r["column_a"], r["column_b"]): r["corr"] for r in distribution.correlation_matrix(df, COLUMNS).collect()}
+    assert len(got) == 25
+    for i, a in enumerate(COLUMNS):
+        for j, b in enumerate(COLUMNS):
+            if a in ("flat", "void") or b in ("flat", "void"):
+                assert got[a, b] is None
+            else:
+                both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+                assert got[a, b] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+
+
+def test_empty_and_clashing(spark, table):
+    _, df = table
+    none = distribution.correlation_matrix(df.limit(0), COLUMNS).collect()
+    assert len(none) == 25 and {r["corr"] for r in none} == {None}
+    assert masked_gramian(df.limit(0), COLUMNS, [0.0] * 5).count() == 0
+    names = df.select(F.col("a").alias("n"), F.col("b").alias("sum_a"), F.col("c").alias("x0"))
+    got = distribution.correlation_matrix(names, ["n", "sum_a", "x0"]).count()
+    assert got == 9
