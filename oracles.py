@@ -177,10 +177,17 @@ def box(column: str, by: str, places: int = 6) -> str:
 
 def kde(
     ctes: str, source: str, column: str, by: str | None, grid: int, cut: float, places: dict, scale: int | None = None,
-    with_quartiles: bool = False,
+    with_quartiles: bool = False, spacing: float | None = None,
 ) -> str:
-    """Gaussian density on an even grid, from collapsed values."""
+    """Gaussian density on an even grid, from collapsed values, or from nodes that share the values between them."""
     key = by or "'all'"
+    values = "val AS (SELECT k, x, count(*) AS w FROM src GROUP BY k, x)"
+    if spacing:
+        values = f"""placed AS (SELECT k, mn, h, (x - mn) / (h * {spacing}e0) AS z FROM src JOIN st USING (k)),
+shared AS (
+  SELECT k, mn, h, floor(z) AS node, 1 - (z - floor(z)) AS w FROM placed UNION ALL SELECT k, mn, h, floor(z) + 1, z - floor(z) FROM placed
+),
+val AS (SELECT k, any_value(mn) + node * any_value(h) * {spacing}e0 AS x, sum(w) AS w FROM shared GROUP BY k, node)"""
     density = "sum(w * exp(-0.5e0 * ((x - (lo + i * step)) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi()))"
     if scale:
         density += f" * any_value(n) * any_value(mx - mn) / {scale}"
@@ -189,12 +196,12 @@ def kde(
         quarts = "".join(f", {r(f'any_value({c})', c, places.get(c, 6))}" for c in ("q1", "median", "q3"))
     return f"""WITH {ctes},
 src AS (SELECT {key} AS k, CAST({column} AS DOUBLE) AS x FROM {source} WHERE {column} IS NOT NULL),
-val AS (SELECT k, x, count(*) AS w FROM src GROUP BY k, x),
 st AS (
   SELECT k, count(*) AS n, stddev_samp(x) * pow(count(*), -0.2e0) AS h, min(x) AS mn, max(x) AS mx,
          quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3
   FROM src GROUP BY k
 ),
+{values},
 gr AS (SELECT *, mn - {cut}e0 * h AS lo, (mx - mn + 2e0 * {cut}e0 * h) / {grid - 1} AS step FROM st)
 SELECT {f'gr.k AS {by}, ' if by else ''}i AS grid_index, {r('any_value(lo + i * step)', 'x', places.get('x', 6))},
        {r(density, 'density', places.get('density', 6))}{quarts}
@@ -508,11 +515,13 @@ ent AS (
         "box_sched_by_quarter": box("days_scheduled", "order_quarter, late_risk"),
         "violin_sched": kde(LINES, "lines", "days_scheduled", "late_risk", 100, 2, kde_digits, with_quartiles=True),
         "violin_sales": kde(LINES, "lines", "sales", "late_risk", 100, 2, money_digits, with_quartiles=True),
+        "violin_sales_binned": kde(LINES, "lines", "sales", "late_risk", 100, 2, money_digits, with_quartiles=True, spacing=0.02),
         "violin_profit": kde(LINES, "lines", "profit_ratio", "late_risk", 100, 2, kde_digits, with_quartiles=True),
         "violin_benefit_segment": kde(
             LINES, "lines", "benefit", "customer_segment", 100, 2, money_digits, with_quartiles=True
         ),
         "kde_log_sales": kde(logs, "logs", "log_sales", None, 200, 0, {"density": 4}, 50),
+        "kde_log_sales_binned": kde(logs, "logs", "log_sales", None, 200, 0, {"density": 4}, 50, spacing=0.02),
         "kde_residuals": kde(residual, "res", "residual", "model", 200, 0, {"density": 4}, 50),
         "kde_sched_by_status": kde(LINES, "lines", "days_scheduled", "order_status", 200, 3, {}),
         "kde2d_discount_profit": kde_2d(),

@@ -53,13 +53,18 @@ def classification_metrics(scores: DataFrame, threshold: float = 0.5, by: Sequen
         when_count(late & ~flagged).alias("fn"),
         when_count(late == flagged).alias("right"),
     )
+    return metrics_of_counts(counts, by).orderBy(*by)
+
+
+def metrics_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Metrics from counts ``n, tp, fp, fn, right``."""
     return counts.select(
         *by,
         ratio("right", "n").alias("accuracy"),
         ratio("tp", F.col("tp") + F.col("fp")).alias("precision"),
         ratio("tp", F.col("tp") + F.col("fn")).alias("recall"),
         ratio(F.col("tp") * 2, F.col("tp") * 2 + F.col("fp") + F.col("fn")).alias("f1"),
-    ).orderBy(*by)
+    )
 
 
 def _ladder(scores: DataFrame) -> DataFrame:

@@ -1,100 +1,194 @@
-"""Exact k nearest neighbours.
+"""Exact k nearest neighbours by trees of bounding boxes.
 
-Training rows are grouped into cells, each with a bounding box. A query first searches its own cell, which gives a
-distance its k-th neighbour cannot exceed, and then only those cells whose box comes at least that close. Cells and the
-queries that visit them are split into blocks of bounded size; one task compares one block with one block and sends on k
-candidates per query, never the pairs.
+Training rows are dealt into groups of bounded size by a tree whose splits come from a sample; every row is in a group,
+whatever the sample. A task holds a group as a tree of its own, whose leaves have bounding boxes, and searches it for the
+queries that visit it: nearest boxes first, and only boxes that come closer than the k-th neighbour so far. A query first
+visits the group that it falls into, which bounds how far its neighbours can be, and then the groups whose boxes come at
+least that close.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parcelwise.functions.small import attach_small, checkpointed, fetch_small
+from parcelwise.functions.small import checkpointed, localized
 
-BLOCK_ROWS = 4_000
-MAX_CELLS = 4_000
-QUERY_ROWS = 256
+GROUP_ROWS = 50_000  # of a group, about; a task holds one
+MAX_GROUPS = 4_000  # of the tree that deals rows out; larger tables have larger groups, which are cut by hash
+LEAF_ROWS = 256
+TURN_ROWS = 8_192  # queries that a task searches a group for
+BLOCK_QUERIES = 64  # that go through a tree together
+SPLIT_ROWS = 512  # looked at to find a split
+SAMPLE_NUMBERS = 4_000_000  # entries of the sample that the driver holds
 CANDIDATES = "q string, id string, d double, label double"
 
 
-def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the positions and squared distances of its k nearest points, equal distances in id order.
+@dataclass
+class Splits:
+    """A binary tree: node i sends a row left if ``x[feature] <= threshold``. A feature of -1 is a leaf, numbered by ``left``."""
 
-    A matrix product picks candidates; their distances are then computed again without cancellation. A query whose
-    candidates might not contain all ties is compared with every point.
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The number of the leaf of each row."""
+        out = np.zeros(len(x), np.int64)
+        stack = [(0, np.arange(len(x)))]
+        while stack:
+            i, rows = stack.pop()
+            if self.feature[i] < 0:
+                out[rows] = self.left[i]
+            elif len(rows):
+                low = x[rows, self.feature[i]] <= self.threshold[i]
+                stack += [(self.left[i], rows[low]), (self.right[i], rows[~low])]
+        return out
+
+
+def best_split(x: np.ndarray) -> tuple[int, float] | None:
+    """Feature and threshold that part the rows with the most variance between both sides; None if all rows are equal.
+
+    A dummy's two values part best, a continuous feature near its median.
     """
-    k = min(k, len(points))
-    reserve = min(len(points), k + 8)
-    norms = (points**2).sum(axis=1)
-    order_of_id = np.empty(len(ids), dtype=np.int64)
-    order_of_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-    chosen = np.empty((len(queries), k), dtype=np.int64)
-    distances = np.empty((len(queries), k))
-    for start in range(0, len(queries), QUERY_ROWS):
-        q = queries[start : start + QUERY_ROWS]
+    n = len(x)
+    if n < 2:
+        return None
+    ordered = np.sort(x, axis=0)
+    many = np.arange(1, n)[:, None]
+    before = ordered.cumsum(axis=0)
+    total = before[-1]
+    gap = before[:-1] / many - (total - before[:-1]) / (n - many)
+    score = np.where(ordered[:-1] < ordered[1:], many * (n - many) * gap * gap, -1.0)
+    at, feature = np.unravel_index(score.argmax(), score.shape)
+    if score[at, feature] <= 0:
+        return None
+    low, high = ordered[at, feature], ordered[at + 1, feature]
+    middle = low + (high - low) / 2
+    return int(feature), float(middle if low <= middle < high else low)
+
+
+def grown(x: np.ndarray, leaf_rows: int) -> tuple[Splits, list[np.ndarray]]:
+    """A tree over the rows, split until a leaf has at most ``leaf_rows`` or only equal rows, and the rows of its leaves."""
+    nodes: list[list] = [[-1, 0.0, 0, 0]]
+    leaves: list[np.ndarray] = []
+    stack = [(0, np.arange(len(x)))]
+    while stack:
+        i, rows = stack.pop()
+        few = rows[:: -(-len(rows) // SPLIT_ROWS)] if len(rows) else rows
+        split = best_split(x[few]) or best_split(x[rows]) if len(rows) > leaf_rows else None
+        if split is None:
+            nodes[i][2] = len(leaves)
+            leaves.append(rows)
+            continue
+        feature, threshold = split
+        low = x[rows, feature] <= threshold
+        nodes[i] = [feature, threshold, len(nodes), len(nodes) + 1]
+        stack += [(len(nodes), rows[low]), (len(nodes) + 1, rows[~low])]
+        nodes += [[-1, 0.0, 0, 0], [-1, 0.0, 0, 0]]
+    feature, threshold, left, right = zip(*nodes)
+    return Splits(np.array(feature), np.array(threshold), np.array(left), np.array(right)), leaves
+
+
+class BoxTree:
+    """Points in leaves with bounding boxes."""
+
+    def __init__(self, points: np.ndarray, leaf_rows: int = LEAF_ROWS):
+        self.splits, leaves = grown(points, leaf_rows)
+        self.order = np.concatenate(leaves)
+        self.bounds = np.cumsum([0, *map(len, leaves)])
+        self.points = points[self.order]
+        self.norms = (self.points**2).sum(axis=1)
+        self.low = np.stack([points[rows].min(axis=0) for rows in leaves])
+        self.high = np.stack([points[rows].max(axis=0) for rows in leaves])
+        self.compared = 0  # pairs of a query and a point whose distance was computed
+
+    def nearest(self, queries: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(query, point, d)`` of each query's k nearest points, by query, squared distance and ``rank`` of the point.
+
+        Distances are rounded to nine digits, so that equal ones are ties.
+        """
+        parts = []
+        order = np.argsort(self.splits.leaf(queries), kind="stable")
+        for start in range(0, len(order), BLOCK_QUERIES):
+            rows = order[start : start + BLOCK_QUERIES]
+            found = self._block(queries[rows], rank, k)
+            parts.append((rows[found[0]], *found[1:]))
+        query, point, d = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, int),) * 3
+        by = np.lexsort((rank[point], d, query))
+        return query[by], point[by], d[by]
+
+    def _block(self, q: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lengths = (q**2).sum(axis=1)
-        rough = lengths[:, None] + norms[None, :] - 2.0 * q @ points.T
-        if reserve < len(points):
-            candidates = np.argpartition(rough, reserve - 1, axis=1)[:, :reserve]
-        else:
-            candidates = np.broadcast_to(np.arange(len(points)), rough.shape)
-        d = np.round(((points[candidates] - q[:, None, :]) ** 2).sum(axis=2), 9)
-        best = np.lexsort((order_of_id[candidates], d), axis=-1)[:, :k]
-        chosen[start : start + QUERY_ROWS] = np.take_along_axis(candidates, best, axis=1)
-        distances[start : start + QUERY_ROWS] = np.take_along_axis(d, best, axis=1)
-        if reserve < len(points):
-            slack = 1e-9 * (1.0 + norms.max() + lengths.max())
-            farthest = np.take_along_axis(rough, candidates, axis=1).max(axis=1)
-            for i in np.flatnonzero(farthest <= distances[start : start + QUERY_ROWS, -1] + slack):
-                every = np.round(((points - q[i]) ** 2).sum(axis=1), 9)
-                all_best = np.lexsort((order_of_id, every))[:k]
-                chosen[start + i], distances[start + i] = all_best, every[all_best]
-    return chosen, distances
-
-
-def _compare(k: int):
-    def compare(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or points.empty:
-            return pd.DataFrame({"q": [], "id": [], "d": [], "label": []})
-        points = points.sort_values("id", ignore_index=True)
-        ids, labels = points["id"].to_numpy(), points["label"].to_numpy()
-        chosen, d = nearest(np.stack(queries["x"].to_numpy()), np.stack(points["x"].to_numpy()), ids, k)
-        return pd.DataFrame(
-            {
-                "q": np.repeat(queries["q"].to_numpy(), chosen.shape[1]),
-                "id": ids[chosen.ravel()],
-                "d": d.ravel(),
-                "label": labels[chosen.ravel()],
-            }
-        )
-
-    return compare
-
-
-def _search(queries: DataFrame, points: DataFrame, k: int, block_rows: int, max_cells: int) -> DataFrame:
-    """Candidates of queries ``(q, x, cell)`` among points ``(id, x, label, cell, block, blocks)`` of the same cell."""
-    asking = queries.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("turns"))
-    asking = checkpointed(asking)
-    per_cell = points.select("cell", "blocks").distinct()
-    q = attach_small(queries, asking, ["cell"], max_cells)
-    q = attach_small(q, per_cell, ["cell"], max_cells)
-    q = q.withColumn("turn", F.pmod(F.xxhash64("q"), F.col("turns")).cast("int"))
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    p = attach_small(points, asking, ["cell"], max_cells)
-    p = p.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+        slack = 1e-9 * (1.0 + self.norms.max() + lengths.max())
+        near = np.stack([(np.maximum(np.maximum(self.low - x, x - self.high), 0.0) ** 2).sum(axis=1) for x in q])
+        farthest = np.full(len(q), np.inf)  # k-th distance so far
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for leaf in np.argsort(near.min(axis=0), kind="stable"):
+            active = np.flatnonzero(near[:, leaf] <= farthest + slack)
+            if not len(active):
+                continue
+            a, b = self.bounds[leaf], self.bounds[leaf + 1]
+            self.compared += len(active) * (b - a)
+            rough = lengths[active, None] + self.norms[None, a:b] - 2.0 * q[active] @ self.points[a:b].T
+            limit = farthest[active]
+            if b - a > k:
+                limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
+            i, j = np.nonzero(rough <= limit[:, None] + slack)
+            d = np.round(((self.points[a + j] - q[active[i]]) ** 2).sum(axis=1), 9)
+            query, point, d = (np.append(x, y) for x, y in zip(best, (active[i], self.order[a + j], d)))
+            by = np.lexsort((rank[point], d, query))
+            query, point, d = query[by], point[by], d[by]
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            best = query[place < k], point[place < k], d[place < k]
+            farthest[query[place == k - 1]] = d[place == k - 1]
+        return best
+
+
+def matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def dealt(df: DataFrame, splits: Splits, keep: str) -> DataFrame:
+    """The rows with ``leaf``, the leaf that each falls into; ``keep`` is the schema of the other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield batch.append_column("leaf", pa.array(splits.leaf(matrix(batch["x"]))))
+
+    return df.mapInArrow(run, f"{keep}, leaf long")
+
+
+def _search(queries: DataFrame, points: DataFrame, k: int, leaf_rows: int) -> DataFrame:
+    """The k best candidates of queries ``(q, x, part)`` among points ``(id, x, label, part)`` of the same part."""
+    asking = queries.groupBy("part").agg(F.ceil(F.count("*") / TURN_ROWS).cast("int").alias("turns"))
+    asking = localized(asking)
+    q = queries.join(asking, "part").withColumn("turn", F.pmod(F.xxhash64("q"), F.col("turns")).cast("int"))
+    p = points.join(asking, "part").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+
+    def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not len(asked) or not len(held):
+            none = np.zeros(0)
+            return pa.table({"q": pa.array([], pa.string()), "id": pa.array([], pa.string()), "d": none, "label": none})
+        held = held.sort_by("id")
+        tree = BoxTree(matrix(held["x"]), leaf_rows)
+        query, point, d = tree.nearest(matrix(asked["x"]), np.arange(len(held)), k)
+        return pa.table({"q": asked["q"].take(query), "id": held["id"].take(point), "d": d, "label": held["label"].take(point)})
+
     # fresh columns: queries may come from the points themselves
-    asked = q.select(*[F.col(c).alias(c) for c in ("cell", "block", "turn", "q", "x")])
-    left = asked.groupBy("cell", "block", "turn")
-    right = p.select("cell", "block", "turn", "id", "x", "label").groupBy("cell", "block", "turn")
-    return left.cogroup(right).applyInPandas(_compare(k), CANDIDATES)
+    left = q.select(*[F.col(c).alias(c) for c in ("part", "turn", "q", "x")]).groupBy("part", "turn")
+    right = p.select("part", "turn", "id", "x", "label").groupBy("part", "turn")
+    return left.cogroup(right).applyInArrow(compare, CANDIDATES)
 
 
 def _best(candidates: DataFrame, k: int) -> DataFrame:
@@ -102,89 +196,105 @@ def _best(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
-def _boxes(batches):
-    """Bounding box of each cell: ``(cell, low, high)`` over rows or smaller boxes."""
-    boxes: dict = {}
-    for pdf in batches:
-        for cell, index in pdf.groupby("cell").indices.items():
-            low = np.stack(pdf["low"].to_numpy()[index]).min(axis=0)
-            high = np.stack(pdf["high"].to_numpy()[index]).max(axis=0)
-            if cell in boxes:
-                low, high = np.minimum(low, boxes[cell][0]), np.maximum(high, boxes[cell][1])
-            boxes[cell] = (low, high)
-    for cell, (low, high) in boxes.items():
-        yield pd.DataFrame({"cell": [cell], "low": [low], "high": [high]})
+def boxes(points: DataFrame) -> DataFrame:
+    """Bounding box of each part: ``(part, low, high)``. A task merges its rows first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            part, low, high = batch["part"].to_numpy(), matrix(batch["low"]), matrix(batch["high"])
+            for p in np.unique(part):
+                own = part == p
+                ends = low[own].min(axis=0), high[own].max(axis=0)
+                if p in found:
+                    ends = np.minimum(ends[0], found[p][0]), np.maximum(ends[1], found[p][1])
+                found[p] = ends
+        if found:
+            columns = [pa.array([e[side].tolist() for e in found.values()], pa.list_(pa.float64())) for side in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int64()), *columns], names=["part", "low", "high"])
+
+    shape = "part long, low array<double>, high array<double>"
+    ends = points.select("part", F.col("x").alias("low"), F.col("x").alias("high"))
+    return ends.mapInArrow(run, shape).repartition("part").mapInArrow(run, shape)
 
 
 def neighbours(
-    points: DataFrame, queries: DataFrame, k: int = 15, block_rows: int = BLOCK_ROWS, max_cells: int = MAX_CELLS
+    points: DataFrame,
+    queries: DataFrame,
+    k: int = 15,
+    block_rows: int = GROUP_ROWS,
+    max_cells: int = MAX_GROUPS,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """The k nearest points of every query: ``(q, id, d, label)``, d squared, equal distances in id order.
 
-    ``points`` is ``(id, x array<double>, label, cell)``, ``queries`` is ``(q, x, cell)``. Any assignment of cells gives
-    the same result; a good one puts near rows together.
+    ``points`` is ``(id, x array<double>, label)``, ``queries`` is ``(q, x)``; other columns aren't used. Groups have
+    about ``block_rows`` rows; the tree that deals them out has at most ``max_cells`` leaves. Neither these numbers nor
+    the sample change the result. Fewer than k points give all of them. Ids must be unique.
     """
-    sizes = points.groupBy("cell").agg(F.count("*").alias("n"))
-    if fetch_small(sizes, max_cells) is None:
-        # too many cells to hold their boxes: merge them, which widens boxes but loses nothing
-        merged = F.pmod(F.xxhash64("cell"), F.lit(max_cells)).cast("string")
-        points, queries = points.withColumn("cell", merged), queries.withColumn("cell", merged)
-        sizes = points.groupBy("cell").agg(F.count("*").alias("n"))
-    blocks = sizes.select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    points = attach_small(points, blocks, ["cell"], max_cells)
-    points = points.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-
-    home = checkpointed(_best(_search(queries, points, k, block_rows, max_cells), k))
+    points = checkpointed(points.select("id", "x", F.col("label").cast("double").alias("label")))
+    queries = checkpointed(queries.select("q", "x"))
+    rows = points.count()
+    groups = max(1, min(max_cells, -(-rows // block_rows)))
+    width = len(points.select("x").first()["x"]) if rows else 0
+    size = min(rows, 16 * groups, max(groups, SAMPLE_NUMBERS // max(width, 1))) if groups > 1 else 0
+    # the rows with the least hashes: a bounded sample, the same one in every run
+    sample = [r["x"] for r in points.select("x", F.xxhash64("id").alias("h")).orderBy("h").limit(size).collect()] if size else []
+    splits, _ = grown(np.array(sample, dtype=float).reshape(len(sample), width), max(1, size // groups))
+    placed = dealt(points, splits, "id string, x array<double>, label double")
+    if groups > 1:
+        placed = checkpointed(placed)
+    # a leaf that holds more rows than a group, as of many equal points, is cut by hash; a part is a piece of a leaf
+    sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / (2 * block_rows)).alias("pieces"))
+    sizes = localized(sizes)
+    piece = F.pmod(F.xxhash64("id"), F.col("pieces"))
+    parts = placed.join(sizes, "leaf").select("id", "x", "label", (F.col("leaf") + piece * F.lit(1 << 32)).alias("part"))
+    asked = dealt(queries, splits, "q string, x array<double>").select("q", "x", F.col("leaf").alias("part"))
+    home = checkpointed(_best(_search(asked, parts, k, leaf_rows), k))
+    if groups == 1 and rows <= 2 * block_rows:
+        return home
     reach = home.groupBy("q").agg(F.when(F.count("*") == k, F.max("d")).alias("reach"))
+    # a box for each part: at most as many as the tree has leaves, and the pieces of crowded ones
+    found = boxes(parts).orderBy("part").collect()
+    name = np.array([r["part"] for r in found])
+    low, high = np.array([r["low"] for r in found]), np.array([r["high"] for r in found])
+    shared = points.sparkSession.sparkContext.broadcast((name, low, high))
 
-    # per task one box for each cell it meets, then the same again with a cell's boxes in one task
-    ends = points.select("cell", F.col("x").alias("low"), F.col("x").alias("high"))
-    shape = "cell string, low array<double>, high array<double>"
-    boxes = ends.mapInPandas(_boxes, shape).repartition("cell").mapInPandas(_boxes, shape)
-    # at most max_cells rows
-    rows = boxes.orderBy("cell").collect()
-    names = np.array([r["cell"] for r in rows], dtype=object)
-    low, high = np.array([r["low"] for r in rows]), np.array([r["high"] for r in rows])
-    shared = points.sparkSession.sparkContext.broadcast((names, low, high))
-
-    def visits(batches):
-        names, low, high = shared.value
-        for pdf in batches:
-            if not len(pdf) or not len(names):
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, low, high = shared.value
+        for batch in batches:
+            if not len(batch):
                 continue
-            x = np.stack(pdf["x"].to_numpy())
-            limit = pdf["reach"].fillna(np.inf).to_numpy()
+            x, own = matrix(batch["x"]), batch["part"].to_numpy()
+            limit = batch["reach"].fill_null(np.inf).to_numpy(zero_copy_only=False)
             limit = limit + 1e-9 * (1.0 + np.where(np.isfinite(limit), limit, 0.0))
-            own = pdf["cell"].to_numpy()
-            keys = pdf["q"].to_numpy()
-            for j, name in enumerate(names):
+            for j in range(len(name)):
                 gap = np.maximum(np.maximum(low[j] - x, x - high[j]), 0.0)
-                near = ((gap * gap).sum(axis=1) <= limit) & (own != name)
+                near = ((gap * gap).sum(axis=1) <= limit) & (own != name[j])
                 if near.any():
-                    yield pd.DataFrame({"q": keys[near], "cell": name})
+                    some = batch.filter(pa.array(near))
+                    yield pa.RecordBatch.from_arrays([some["q"], some["x"], pa.array(np.full(near.sum(), name[j]))], names=["q", "x", "part"])
 
-    asked = queries.join(reach, "q", "left").select("q", "x", "cell", "reach")
-    visiting = checkpointed(asked.mapInPandas(visits, "q string, cell string"))
-    away = _search(visiting.join(queries.select("q", "x"), "q"), points, k, block_rows, max_cells)
-    return _best(home.unionByName(away), k)
+    going = asked.join(reach, "q", "left").mapInArrow(visits, "q string, x array<double>, part long")
+    return _best(home.unionByName(_search(checkpointed(going), parts, k, leaf_rows)), k)
 
 
 def knn_scores(
     train: DataFrame,
     test: DataFrame,
     key: str,
-    cells: Sequence[str],
     k: int = 15,
     carry: Sequence[str] = (),
     features: str = "features",
     name: str = "KNN",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Share of positives among the k nearest training rows: ``(key, carry..., model, y, p)``."""
-    cell = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cells]) if cells else F.lit("")
     x = vector_to_array(F.col(features))
-    points = train.select(F.col(key).cast("string").alias("id"), x.alias("x"), F.col("y").alias("label"), cell.alias("cell"))
-    queries = test.select(F.col(key).cast("string").alias("q"), x.alias("x"), cell.alias("cell"))
+    points = train.select(F.col(key).cast("string").alias("id"), x.alias("x"), F.col("y").alias("label"))
+    queries = test.select(F.col(key).cast("string").alias("q"), x.alias("x"))
     near = neighbours(points, queries, k, block_rows)
     votes = near.groupBy("q").agg(F.avg("label").alias("p"))
     facts = test.select(key, *carry, F.col("y").cast("int").alias("y"), F.col(key).cast("string").alias("q"))

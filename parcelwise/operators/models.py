@@ -26,8 +26,6 @@ CATEGORIES = (
     "order_region", "order_status", "shipping_mode",
 )
 INTERACTIONS = ("days_scheduled", "sales", "discount_rate", "quantity")
-# a neighbour that differs in one of these is far away, so they make good cells for the neighbour search
-NEIGHBOUR_CELLS = ("order_region", "category_name")
 
 
 @dataclass
@@ -134,7 +132,6 @@ def evaluate_models(
     data: Prepared,
     models: Sequence[str] = ("Logistic Regression", "Decision Tree", "KNN", "Artificial Neural Network"),
     carry: Sequence[str] = (),
-    cells: Sequence[str] = (),
     net_iterations: int = 300,
 ) -> DataFrame:
     """Fit the named models on the training part and score the test part, as one long table."""
@@ -142,7 +139,7 @@ def evaluate_models(
     parts = []
     for name in models:
         if name == "KNN":
-            parts.append(knn_scores(data.train, data.test, data.key, cells, carry=carry, name=name))
+            parts.append(knn_scores(data.train, data.test, data.key, carry=carry, name=name))
             continue
         estimator = {
             "Logistic Regression": lambda: logistic_regression(data.n_train),

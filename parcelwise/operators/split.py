@@ -163,15 +163,21 @@ def stratified_folds(
     return df.withColumn("fold", _per_stratum(stratum, cuts, fold, 0))
 
 
-def stratified_prefixes(
+def prefix_step(
     df: DataFrame, shares: Sequence[float], stratum: str = "late_risk", key: str = "line_id", seed: int = 7
-) -> DataFrame:
-    """Add ``step``: the first of the growing shares (0-based) a row belongs to, so that share i holds steps 0..i."""
-    df = df.where(all_present(stratum, key))
-    cuts = hash_cuts(df, key, lambda n: [half_up(s * n) for s in shares], stratum, seed)
+) -> Column:
+    """The first of the growing shares of a table (0-based) that a row of it belongs to; share i holds steps 0..i."""
+    cuts = hash_cuts(df.where(all_present(stratum, key)), key, lambda n: [half_up(s * n) for s in shares], stratum, seed)
 
     def step(c: list[Cut]) -> Column:
         passed = [(~within_cut(key, cut, seed)).cast("int") for cut in c]
         return reduce(lambda a, b: a + b, passed, F.lit(0))
 
-    return df.withColumn("step", _per_stratum(stratum, cuts, step, 0))
+    return _per_stratum(stratum, cuts, step, 0)
+
+
+def stratified_prefixes(
+    df: DataFrame, shares: Sequence[float], stratum: str = "late_risk", key: str = "line_id", seed: int = 7
+) -> DataFrame:
+    """Add ``step``, see :func:`prefix_step`. Rows without a class drop out."""
+    return df.where(all_present(stratum, key)).withColumn("step", prefix_step(df, shares, stratum, key, seed))

@@ -108,7 +108,7 @@ def _fitted_scores(df: DataFrame, *names: str) -> DataFrame:
     """The test rows as the named models score them, all four by default; fitted once for the same order lines."""
     known = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), names)
     if known not in _scored:
-        with preparing(df, ["profit_ratio", *models.NEIGHBOUR_CELLS]) as data:
+        with preparing(df, ["profit_ratio"]) as data:
             # written while the vectors are cached: nothing is scored or rebuilt after the block
             _scored[known] = checkpointed(evaluate_all(data, names))
     return _scored[known]
@@ -122,7 +122,7 @@ def forget_scores() -> None:
 def evaluate_all(data: models.Prepared, names: Sequence[str] = ()) -> DataFrame:
     """``(line_id, profit_ratio, model, y, p)`` of the named models, all four by default."""
     chosen = {"models": tuple(names)} if names else {}
-    scores = models.evaluate_models(data, carry=["profit_ratio"], cells=models.NEIGHBOUR_CELLS, **chosen)
+    scores = models.evaluate_models(data, carry=["profit_ratio"], **chosen)
     return scores.select("line_id", "model", "y", "p", "profit_ratio")
 
 
@@ -423,6 +423,9 @@ ANALYSES: dict[str, Analysis] = {
         lambda df: density.violin(df, "days_scheduled", L, discrete=True), ("days_scheduled", L), KDE_DIGITS
     ),
     "violin_sales": Analysis(lambda df: density.violin(df, "sales", L), ("sales", L), KDE_DIGITS | {"density": 12}),
+    "violin_sales_binned": Analysis(
+        lambda df: density.violin(df, "sales", L, spacing=0.02), ("sales", L), KDE_DIGITS | {"density": 12}
+    ),
     "violin_profit": Analysis(lambda df: density.violin(df, "profit_ratio", L), ("profit_ratio", L), KDE_DIGITS),
     "violin_benefit_segment": Analysis(
         lambda df: density.violin(df, "benefit", "customer_segment"),
@@ -432,6 +435,9 @@ ANALYSES: dict[str, Analysis] = {
     "kde_log_sales": Analysis(
         lambda df: density.kde(_log_sales(df), "log_sales", grid=200, cut=0, scale_bins=50), ("sales",), {"density": 4}
     ),
+    "kde_log_sales_binned": Analysis(
+        lambda df: density.kde(_log_sales(df), "log_sales", grid=200, cut=0, scale_bins=50, spacing=0.02), ("sales",), {"density": 4}
+    ),
     "kde_residuals": _on_scores(lambda s: _residual_density(evaluate.with_residual(s)), {"density": 4}),
     "kde_sched_by_status": Analysis(
         lambda df: density.kde(df, "days_scheduled", ["order_status"], grid=200, cut=3, discrete=True),

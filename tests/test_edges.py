@@ -215,6 +215,23 @@ def test_density_integrates_to_one_and_equals_the_formula(spark):
         assert np.trapezoid(got["density"], got["x"]) == pytest.approx(1, abs=1e-3)
 
 
+@pytest.mark.parametrize("spacing", [0.5, 0.1, 0.02])
+def test_binned_density_stays_within_its_bound(spark, spacing):
+    rng = np.random.default_rng(19)
+    pdf = pd.DataFrame({"x": np.r_[rng.normal(size=400), rng.exponential(size=300) * 3, [40.0]], "g": ["a", "b", "b"] * 233 + ["c", "c"]})
+    df = spark.createDataFrame(pdf)
+    exact = density.kde(df, "x", ["g"], grid=80).toPandas()
+    got = density.kde(df, "x", ["g"], grid=80, spacing=spacing).toPandas()
+    assert got[["g", "grid_index"]].equals(exact[["g", "grid_index"]])
+    np.testing.assert_allclose(got["x"], exact["x"])
+    for g, part in pdf.groupby("g"):
+        h = part["x"].std() * len(part) ** -0.2
+        off = (got[got.g == g]["density"] - exact[exact.g == g]["density"]).abs().max()
+        assert off <= spacing**2 / 8 / (h * np.sqrt(2 * np.pi)) + 1e-12
+    assert density.kde(df.limit(0), "x", ["g"], spacing=spacing).count() == 0
+    assert density.violin(df, "x", "g", spacing=spacing).count() == 300
+
+
 def test_density_in_two_dimensions_sums_to_one_over_keys(spark):
     rng = np.random.default_rng(9)
     pdf = pd.DataFrame({"x": rng.normal(size=400), "y": rng.normal(size=400), "g": rng.integers(0, 2, 400)})

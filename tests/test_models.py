@@ -16,7 +16,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def data(spark):
     lines = order_lines(spark, SMALL, catalogue.MODEL_USES)
-    with catalogue.preparing(lines, ["profit_ratio", *models.NEIGHBOUR_CELLS]) as prepared:
+    with catalogue.preparing(lines, ["profit_ratio"]) as prepared:
         yield prepared
 
 
@@ -57,6 +57,51 @@ def test_merged_cells_give_the_same_neighbours(spark):
     assert plain.to_numpy().tolist() == merged.to_numpy().tolist()
 
 
+@pytest.mark.parametrize("leaf", [1, 20, 256])
+def test_box_tree_equals_brute_force(leaf):
+    """Dummies, ties, repeated points, flat columns and queries outside of all boxes."""
+    rng = np.random.default_rng(17)
+    x = np.c_[rng.normal(size=(700, 3)).round(1), 4.0 * np.eye(6)[rng.integers(0, 6, 700)], np.ones(700)]
+    x[600:650] = x[0]
+    q = np.r_[x[:100], rng.normal(size=(30, 10)) * 5]
+    tree = knn.BoxTree(x, leaf)
+    rank = rng.permutation(700)
+    query, point, d = tree.nearest(q, rank, 15)
+    for i in range(len(q)):
+        every = np.round(((x - q[i]) ** 2).sum(1), 9)
+        want = np.lexsort((rank, every))[:15]
+        assert point[query == i].tolist() == want.tolist() and d[query == i].tolist() == every[want].tolist()
+    assert tree.compared < len(q) * len(x)
+    few = knn.BoxTree(x[:4], leaf).nearest(q[:2], np.arange(4), 15)
+    assert few[0].tolist() == [0] * 4 + [1] * 4
+
+
+def test_box_trees_compare_ever_fewer_pairs():
+    """Ten times the points take far less than a hundred times the comparisons of as many more queries."""
+    rng = np.random.default_rng(18)
+    shares = []
+    for n in (2_000, 20_000):
+        x = np.c_[rng.normal(size=(n, 2)), 5.0 * np.eye(30)[rng.integers(0, 30, n)]]
+        tree = knn.BoxTree(x, 64)
+        tree.nearest(x[: n // 20], np.arange(n), 15)
+        shares.append(tree.compared / (n // 20) / n)
+    assert shares[0] < 1 / 3 and shares[1] < shares[0] / 5
+
+
+def test_crowded_leaves_and_few_points(spark):
+    """More equal points than a group holds, and fewer points than neighbours asked for."""
+    rows = [(f"{i:03d}", [1.0, 2.0] if i < 90 else [float(i), 0.0], float(i % 2)) for i in range(100)]
+    points = spark.createDataFrame(rows, "id string, x array<double>, label double")
+    queries = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [95.2, 0.0])], "q string, x array<double>")
+    got = {(r["q"], r["id"]) for r in knn.neighbours(points, queries, 20, block_rows=10).select("q", "id").collect()}
+    x = np.array([r[1] for r in rows])
+    want = {(q, rows[j][0]) for q, v in (("a", [1, 2]), ("b", [95.2, 0])) for j in np.lexsort((np.arange(100), np.round(((x - v) ** 2).sum(1), 9)))[:20]}
+    assert got == want
+    assert knn.neighbours(points.limit(3), queries, 20).count() == 6
+    assert knn.neighbours(points.limit(0), queries, 20).count() == 0
+    assert knn.neighbours(points, queries.limit(0), 20).count() == 0
+
+
 def test_design_counts_and_scaling(data):
     x, _, _ = arrays(data.train, "features")
     raw, _, _ = arrays(data.train, "raw")
