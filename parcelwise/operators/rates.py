@@ -6,14 +6,22 @@ of the rows still sends one row per input partition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import zlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions.columns import all_present, col
 
 LABEL = "late_risk"
+BOOTSTRAP_ROWS = 2_048  # whose weights in all draws are one matrix
+# fixed values: multipliers of the public hash function XXH64
+XXH64_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
 def overall_rate(df: DataFrame, measure: str = LABEL) -> DataFrame:
@@ -108,11 +116,6 @@ def bootstrap_rates(
     Resampling n rows of which k are 1 draws Binomial(n, k/n) ones, so the table of (n, k) is all that is resampled:
     its size is the number of keys, whatever the number of rows.
     """
-    import zlib
-
-    import numpy as np
-    import pandas as pd
-
     low, high = (1 - level) / 2, (1 + level) / 2
 
     def intervals(batches):
@@ -137,6 +140,16 @@ def bootstrap_rates(
     return out.orderBy(dim)
 
 
+def hashed_onwards(seed: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """XXH64 of 32-bit integers with 64-bit seeds, as signed 64-bit integers; both arrays are broadcast."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in XXH64_PRIMES)
+    h = (seed.astype(np.int64).view(np.uint64) + (p5 + np.uint64(4))) ^ (number.astype(np.uint32).astype(np.uint64) * p1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 def bootstrap_means(
     df: DataFrame,
     dim: str,
@@ -148,22 +161,42 @@ def bootstrap_means(
 ) -> DataFrame:
     """Poisson bootstrap of the mean of any measure per key: ``(dim, n, mean, ci_low, ci_high)``.
 
-    A row's weight in a draw is a Poisson(1) number found from a hash of its key and the draw, so replays agree. The
-    weighted sums are combined inside the tasks: the shuffle holds a row for each task, key and draw.
+    A row's weight in a draw is a Poisson(1) number found from a hash of its key and the draw, so replays agree. A task
+    has the weights of a block of rows in all draws as one matrix and adds up its products with the measure; it sends on
+    a row for each key and draw. Rows without a key value or measure are left out.
     """
-    import math
-
     rows = df.where(all_present(dim, measure)).select(F.col(dim).alias("_dim"), F.col(measure).cast("double").alias("_x"), F.col(key).alias("_k"))
+    kind = rows.schema["_dim"].dataType.simpleString()
     # P(weight <= w) for w = 0, 1, ...; beyond the last the chance is below 1e-15
-    steps, total = [], 0.0
-    for w in range(18):
-        total += math.exp(-1) / math.factorial(w)
-        steps.append(total)
-    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = (F.xxhash64(F.lit(seed), "_k", "draw") / F.lit(2.0**64)) + 0.5
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0)).cast("double")
-    each = each.withColumn("_w", weight).where("_w > 0")
-    per_draw = each.groupBy("_dim", "draw").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("mean"))
+    steps = np.cumsum([math.exp(-1) / math.factorial(w) for w in range(18)])
+    numbers = np.arange(draws)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict = {}
+        type = None
+        for batch in batches:
+            type = batch["_dim"].type
+            coded = batch["_dim"].dictionary_encode()
+            place, values = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            x, hashes = batch["_x"].to_numpy(), batch["_h"].to_numpy()
+            for at in range(0, len(batch), BOOTSTRAP_ROWS):
+                part = slice(at, at + BOOTSTRAP_ROWS)
+                u = hashed_onwards(hashes[part, None], numbers[None]) / 2.0**64 + 0.5
+                weight = np.searchsorted(steps, u, "right").astype(float)
+                for p in np.unique(place[part]):
+                    own = place[part] == p
+                    total = totals.setdefault(values[p], np.zeros((2, draws)))
+                    total[0] += weight[own].sum(axis=0)
+                    total[1] += x[part][own] @ weight[own]
+        for value, (w, wx) in totals.items():
+            some = np.flatnonzero(w > 0)
+            columns = [pa.array([value] * len(some), type), pa.array(some, pa.int64()), pa.array(w[some]), pa.array(wx[some])]
+            yield pa.RecordBatch.from_arrays(columns, names=["_dim", "draw", "w", "wx"])
+
+    # the hash goes on over the draws where this one ends
+    hashed = rows.select("_dim", "_x", F.xxhash64(F.lit(seed), "_k").alias("_h"))
+    parts = hashed.mapInArrow(sums, f"_dim {kind}, draw long, w double, wx double")
+    per_draw = parts.groupBy("_dim", "draw").agg((F.sum("wx") / F.sum("w")).alias("mean"))
     low, high = (1 - level) / 2, (1 + level) / 2
     # draws rows per key, whatever the size of the data
     bounds = per_draw.groupBy("_dim").agg(F.percentile("mean", F.array(F.lit(low), F.lit(high))).alias("q"))

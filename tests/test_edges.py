@@ -345,3 +345,25 @@ def test_an_empty_table_gives_an_empty_or_null_result(spark, name):
     lines = order_lines(spark, "/root/testdata/sf0.001", analysis.uses).limit(0)
     found = analysis.run(lines).toPandas()
     assert len(found) == 0 or found.select_dtypes("number").fillna(0).to_numpy().sum() == 0
+
+
+def test_bootstrap_weights_replay_the_hash_of_key_and_draw(spark):
+    """Means of every draw from rows that are repeated draw by draw, and keys of several types."""
+    rng = np.random.default_rng(20)
+    rows = [(f"k{i}", int(i), ["a", "b", None][i % 3], float(v) if i % 7 else None) for i, v in enumerate(rng.normal(size=200) + 5)]
+    df = spark.createDataFrame(rows, "name string, number long, g string, v double").withColumn("_x", F.lit("clash"))
+    for key in ("name", "number"):
+        hashed = rates.hashed_onwards(
+            np.array([r["h"] for r in df.select(F.xxhash64(F.lit(42), key).alias("h")).collect()])[:, None], np.arange(9)[None]
+        )
+        want = df.select(*[F.xxhash64(F.lit(42), key, F.lit(d)) for d in range(9)]).collect()
+        assert hashed.tolist() == [list(r) for r in want]
+        draws = df.where("g is not null and v is not null").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(59))))
+        u = F.xxhash64(F.lit(42), key, "draw") / F.lit(2.0**64) + 0.5
+        steps = np.cumsum([math.exp(-1) / math.factorial(w) for w in range(18)])
+        weight = sum((F.when(u >= float(s), 1).otherwise(0) for s in steps), F.lit(0))
+        means = draws.groupBy("g", "draw").agg((F.sum(weight * F.col("v")) / F.sum(weight)).alias("m")).toPandas()
+        got = rates.bootstrap_means(df, "g", "v", key, draws=60).toPandas().set_index("g")
+        for g, part in means.groupby("g"):
+            np.testing.assert_allclose(got.loc[g, ["ci_low", "ci_high"]].astype(float), np.quantile(part["m"], [0.025, 0.975]))
+    assert rates.bootstrap_means(df.limit(0), "g", "v", "name").count() == 0
