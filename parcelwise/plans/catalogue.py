@@ -24,7 +24,9 @@ from parcelwise.operators import (
     distribution,
     dynamics,
     evaluate,
+    exact_tree,
     features,
+    many_fits,
     models,
     rates,
     split,
@@ -208,6 +210,26 @@ def _dt_importance(df: DataFrame) -> DataFrame:
     return models.importance_table(df.sparkSession, data.design.names, model)
 
 
+def _exact_tree(df: DataFrame):
+    with preparing(df) as data:
+        blocks = many_fits.feature_blocks(data.train, [], "raw")
+    return data, exact_tree.exact_tree(blocks)
+
+
+@of_rows(exact_tree.NODES)
+def _dt_exact_nodes(df: DataFrame) -> DataFrame:
+    data, tree = _exact_tree(df)
+    return tree.table(df.sparkSession, data.design.names)
+
+
+@of_rows("feature string, importance double")
+def _dt_exact_importance(df: DataFrame) -> DataFrame:
+    data, tree = _exact_tree(df)
+    shares = tree.importances(len(data.design.names)).tolist()
+    rows = sorted(zip(data.design.names, shares), key=lambda r: (-r[1], r[0]))
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double")
+
+
 @of_rows("iteration int, loss double")
 def _mlp_loss(df: DataFrame) -> DataFrame:
     with preparing(df) as data:
@@ -491,7 +513,11 @@ ANALYSES: dict[str, Analysis] = {
     "knn_scores": _fitted("KNN"),
     "mlp_scores": _fitted("Artificial Neural Network"),
     "mlp_loss_curve": Analysis(_mlp_loss, MODEL_USES),
-    "dt_importance_top": Analysis(lambda df: _dt_importance(df).limit(15), MODEL_USES),
+    "dt_importance_top": Analysis(
+        lambda df: _dt_importance(df).orderBy(F.desc("importance"), "feature").limit(15), MODEL_USES
+    ),
+    "dt_exact_nodes": Analysis(_dt_exact_nodes, MODEL_USES),
+    "dt_exact_importance": Analysis(_dt_exact_importance, MODEL_USES),
     "model_results": _on_fitted(evaluate.model_results),
     "models_confusion_matrix": _on_fitted(evaluate.confusion_matrix),
     "models_roc_curve": _on_fitted(evaluate.roc_curve),
