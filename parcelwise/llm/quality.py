@@ -83,7 +83,7 @@ def _normalised_line(line: Column) -> Column:
 def _measured(docs: DataFrame, id: str, text: str, host: str) -> DataFrame:
     """One row per document: its base counts, a hash of its text, and hash and words of each line with a word."""
     whole = F.coalesce(docs[text], F.lit(""))
-    trimmed = F.regexp_replace(whole, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    trimmed = F.btrim(whole, F.lit(ASCII_SPACE))  # in one go, however long white space inside the text is
     some = docs.select(docs[id].alias("id"), docs[host].alias("host"), whole.alias("t"), trimmed.alias("trimmed"))
     words = F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", SPACES))
     lines = F.filter(F.split("t", "\n"), lambda x: F.translate(x, ASCII_SPACE, "") != "")
