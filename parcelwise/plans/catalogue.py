@@ -29,6 +29,7 @@ from parcelwise.operators import (
     many_fits,
     models,
     rates,
+    relu_net,
     split,
     timeseries,
 )
@@ -247,6 +248,27 @@ def _cross_validation(df: DataFrame) -> DataFrame:
     return diagnostics.cross_validate(lines, design)
 
 
+def _relu_net(data: models.Prepared):
+    """Early stopping judges by a tenth of the training part."""
+    held = split.prefix_step(data.train, (0.1,), data.label, data.key)
+    blocks = many_fits.feature_blocks(data.train.withColumn("held", held), ["held"])
+    return relu_net.fit_net(blocks, lambda marks: marks == 0)
+
+
+@of_rows(relu_net.CURVE)
+def _net_loss(df: DataFrame) -> DataFrame:
+    with preparing(df) as data:
+        _, curve = _relu_net(data)
+    return relu_net.loss_curve(df.sparkSession, curve)
+
+
+@of_rows("line_id string, model string, y int, p double")
+def _net_scores(df: DataFrame) -> DataFrame:
+    with preparing(df) as data:
+        net, _ = _relu_net(data)
+        return checkpointed(relu_net.net_scores(data.test, net, "Rectified Net", ["line_id"]))
+
+
 @of_rows("feature string, repeat int, decrease double")
 def _permutation_repeats(df: DataFrame) -> DataFrame:
     with preparing(df) as data:
@@ -516,6 +538,8 @@ ANALYSES: dict[str, Analysis] = {
     "dt_importance_top": Analysis(
         lambda df: _dt_importance(df).orderBy(F.desc("importance"), "feature").limit(15), MODEL_USES
     ),
+    "net_loss_curve": Analysis(_net_loss, MODEL_USES),
+    "net_scores": Analysis(_net_scores, MODEL_USES),
     "dt_exact_nodes": Analysis(_dt_exact_nodes, MODEL_USES),
     "dt_exact_importance": Analysis(_dt_exact_importance, MODEL_USES),
     "model_results": _on_fitted(evaluate.model_results),
