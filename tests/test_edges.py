@@ -367,3 +367,35 @@ def test_bootstrap_weights_replay_the_hash_of_key_and_draw(spark):
         for g, part in means.groupby("g"):
             np.testing.assert_allclose(got.loc[g, ["ci_low", "ci_high"]].astype(float), np.quantile(part["m"], [0.025, 0.975]))
     assert rates.bootstrap_means(df.limit(0), "g", "v", "name").count() == 0
+
+
+def test_fifty_thousand_strata_split_exactly(spark):
+    """Strata beyond the limit of an expression's branches, one of them large, against sorted hashes."""
+    import hashlib
+
+    strata = [*range(50_000)] * 2 + [7] * 3000 + [None] * 5
+    pdf = pd.DataFrame({"s": pd.array(strata, "Int64"), "line_id": [f"r{i}" for i in range(len(strata))], "_s": "clash"})
+    df = spark.createDataFrame([(None if pd.isna(a) else int(a), b, c) for a, b, c in pdf.itertuples(index=False)], "s long, line_id string, _s string")
+    got = split.stratified_split(df.drop("_s").withColumn("_p", F.lit("clash")), "s", test_share=0.4).select("line_id", "split").toPandas()
+    pdf = pdf.dropna(subset=["s"])
+    pdf["h"] = [hashlib.md5(f"42|{k}".encode()).hexdigest() for k in pdf["line_id"]]
+    pdf = pdf.sort_values(["s", "h", "line_id"])
+    place, size = pdf.groupby("s").cumcount(), pdf.groupby("s")["h"].transform("size")
+    want = dict(zip(pdf["line_id"], np.where(place < np.floor(size * 0.4 + 0.5), "test", "train")))
+    assert dict(zip(got["line_id"], got["split"])) == want
+
+
+@pytest.mark.parametrize("leaf", [100_000, 40])
+def test_cut_tables_equal_branches(spark, monkeypatch, leaf):
+    rng = np.random.default_rng(23)
+    rows = [(int(s), f"k{i}") for i, s in enumerate(np.minimum(rng.geometric(0.3, 4000), 9))] + [(20, "only"), (None, "x")]
+    df = spark.createDataFrame(rows, "s int, line_id string")
+    ranks = lambda n, floor: [floor(n * 0.0 + 0.5), floor(n * 0.31 + 0.5), floor(n * 0.9 + 0.5)]
+    branches = split.with_part(df, "part", ranks, "s", "line_id", 5)
+    real = split.cut_table
+    monkeypatch.setattr(split, "cut_table", lambda *a: real(*a, leaf_rows=leaf))
+    table = split.with_part(df, "part", ranks, "s", "line_id", 5, max_strata=3)
+    columns = ["s", "line_id", "part"]
+    assert sorted(map(tuple, table.select(columns).collect())) == sorted(map(tuple, branches.select(columns).collect()))
+    for parts in (split.stratified_folds(df, 4, "s"), split.stratified_prefixes(df, (0.2, 0.7, 1.0), "s")):
+        assert parts.count() == len(rows) - 1
