@@ -45,6 +45,17 @@ def opened(batch: pa.RecordBatch, width: int, marks: int) -> Iterator[tuple[np.n
         yield x.reshape(len(y), width), y, np.frombuffer(row["marks"], np.int32).reshape(len(y), marks)
 
 
+def entries(vectors: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, place, value)`` of the entries of unwrapped vectors, sparse or dense."""
+    sizes = vectors.field("values").value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(vectors)), sizes)
+    # a dense vector has no places of its own
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    sparse = np.repeat(vectors.field("type").to_numpy(zero_copy_only=False) == 0, sizes)
+    place[sparse] = vectors.field("indices").flatten().to_numpy()
+    return row, place, vectors.field("values").flatten().to_numpy()
+
+
 def feature_blocks(df: DataFrame, marks: Sequence[str], features: str = "features", y: str = "y") -> Blocks:
     """The vectors of a table, written as blocks. ``marks`` are integer columns that say which fits a row is for.
 
@@ -58,17 +69,11 @@ def feature_blocks(df: DataFrame, marks: Sequence[str], features: str = "feature
         for batch in batches:
             for start in range(0, len(batch), step):
                 part = batch.slice(start, step)
-                vectors = part["v"]
-                sizes = vectors.field("values").value_lengths().to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(part)), sizes)
-                # a dense vector has no places of its own
-                place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                sparse = np.repeat(vectors.field("type").to_numpy(zero_copy_only=False) == 0, sizes)
-                place[sparse] = vectors.field("indices").flatten().to_numpy()
+                row, place, value = entries(part["v"])
                 kept = [part[m].fill_null(-1).to_numpy() for m in marks]
                 columns = [
                     (row * width + place).astype(np.int64),
-                    vectors.field("values").flatten().to_numpy(),
+                    value,
                     part["y"].to_numpy(),
                     np.column_stack(kept).astype(np.int32) if kept else np.zeros((len(part), 0), np.int32),
                 ]
