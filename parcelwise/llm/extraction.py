@@ -55,6 +55,13 @@ MARKS = frozenset(
     "pager widget toolbar skip complementary contentinfo dialog".split()
 )
 HEADERS = frozenset(("header", "masthead"))
+# what may stand beside such a word in a compound name without naming something else: cookie-banner, site-footer, ad-slot
+NEUTRAL = frozenset(
+    "site page main global primary secondary left right top bottom upper lower inner outer box wrap wrapper container block area "
+    "section bar slot unit list item items link links form panel row col column group holder module region zone title heading "
+    "posts articles stories icons buttons field js u the for to in on up".split()
+)
+NAMED = MARKS | HEADERS | NEUTRAL
 BESIDE = frozenset("with without has no".split())  # a class such as with-sidebar names what stands elsewhere
 CONTROLS = frozenset("label legend textarea input datalist output".split())  # of a form; its others are in DROPPED
 DEEPEST = 300  # elements nested deeper lie flat in the one at this depth
@@ -88,7 +95,8 @@ def _kind(tag: str, attributes: str) -> tuple[str, int, bool]:
     for m in ATTRIBUTE.finditer(attributes):  # whole attributes, so that values aren't taken for names
         found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     names = [set(WORDS.findall(x)) for k in ("class", "id", "role") for x in found.get(k, "").split()]
-    words = {w for x in names if not x & BESIDE for w in x}
+    # a name counts whole: of ad-free, share-price or menu-recipes the other word says that it is something else
+    words = {w for x in names if not x & BESIDE and x <= NAMED for w in x}
     main = tag in ("article", "main") or found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody"
     label = f"{tag}.{found['class']}" if found.get("class") else tag
     kind = KEEPS
