@@ -10,10 +10,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelwise.functions.columns import all_present
-from parcelwise.functions.small import fetch_small
+from parcelwise.functions.small import checkpointed, fetch_small
 
 MAX_LEVELS = 10_000
 
@@ -171,3 +172,43 @@ def project(df: DataFrame, model: PipelineModel, columns: Sequence[str], keep: S
     filled = df.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0).cast("double")).alias(c) for c in columns])
     scores = vector_to_array(F.col("pcs"))
     return model.transform(filled).select(*keep, *[(scores[i] * signs[i]).alias(f"pc{i + 1}") for i in range(n)])
+
+
+def level_places(df: DataFrame, columns: Sequence[str], start: int = 0) -> DataFrame:
+    """``(category, level, place)``: places of the dummies of all categories from ``start`` on, as a table.
+
+    As with :func:`category_levels`, levels are in order and the first of each category has no dummy; there may be any
+    number of them. A category's distinct levels are numbered by one task.
+    """
+    entries = [F.struct(F.lit(i).alias("_i"), F.lit(c).alias("category"), F.col(c).cast("string").alias("level")) for i, c in enumerate(columns)]
+    levels = df.select(F.inline(F.array(*entries))).where(all_present("level")).distinct()
+    ranked = checkpointed(levels.withColumn("_rank", F.row_number().over(W.partitionBy("category").orderBy("level")) - 1))
+    sizes = ranked.groupBy("_i").agg(F.max("_rank").alias("_size"))  # a row for each category
+    offset = F.coalesce(F.sum("_size").over(W.orderBy("_i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = ranked.where("_rank > 0").join(F.broadcast(sizes.select("_i", offset.alias("_offset"))), "_i")
+    return checkpointed(places.select("category", "level", (F.col("_offset") + F.col("_rank") - 1 + start).alias("place")))
+
+
+def sparse_design(
+    df: DataFrame, numeric: Sequence[str], categories: Sequence[str], interactions: Sequence[str], keep: Sequence[str]
+) -> tuple[DataFrame, DataFrame, int, int]:
+    """Rows with ``keep``, ``places`` and ``values``; the places of all features by name; their number; that of numbers.
+
+    The vectors of :class:`Design` without a column or branch for each dummy: a category's levels are joined from
+    :func:`level_places`, so their number is bounded by what a model can hold. Missing numbers count as 0; a null or the
+    first level has no entry.
+    """
+    zero = F.lit(0).cast("double")
+    numbers = {c: F.coalesce(F.col(c).cast("double"), zero) for c in numeric} | interaction_columns(interactions)
+    table = level_places(df, categories, len(numbers))
+    for i, c in enumerate(categories):
+        own = table.where(F.col("category") == c).select(F.col("level").alias("_level"), F.col("place").alias(f"_place{i}"))
+        df = df.join(own, F.col(c).cast("string") == F.col("_level"), "left").drop("_level")
+    # ends of the numbers' places and values meet the dummies'
+    dummies = F.array_compact(F.array(*[F.col(f"_place{i}").cast("long") for i in range(len(categories))]))
+    places = F.concat(F.array(*[F.lit(i).cast("long") for i in range(len(numbers))]), dummies)
+    values = F.concat(F.array(*numbers.values()), F.transform(dummies, lambda _: F.lit(1).cast("double")))
+    rows = df.select(*keep, places.alias("places"), values.alias("values"))
+    first = df.sparkSession.createDataFrame([*zip(numbers, range(len(numbers)))], "feature string, place long")
+    names = first.unionByName(table.select(F.concat_ws("_", "category", "level").alias("feature"), F.col("place").cast("long").alias("place")))
+    return rows, names, len(numbers) + table.count(), len(numbers)

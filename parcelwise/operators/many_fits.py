@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions.small import checkpointed
@@ -21,12 +21,36 @@ BLOCK_NUMBERS = 1 << 19  # entries of a block as a dense matrix
 MEMORY = 12  # steps that a fit remembers
 TOLERANCE = 1e-6  # of the largest entry of the mean gradient
 MAX_STEPS = 1000
-FULL_WIDTH = 2_000  # entries up to which the curvature between all pairs of them is known
+FULL_WIDTH = 2_000  # entries up to which blocks are dense matrices and the curvature between all pairs of them is known
+SPARSE_ROWS = 4_096  # of a block of wider vectors
 
 #: From a block's marks, (rows, marks), whether each row belongs to each fit, (rows, fits).
 Member = Callable[[np.ndarray], np.ndarray]
 
 
+class SparseRows:
+    """A matrix by its entries, with the products that the passes take."""
+
+    def __init__(self, row: np.ndarray, place: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.row, self.place, self.value, self.shape = row, place, value, shape
+
+    @property
+    def T(self) -> SparseRows:
+        return SparseRows(self.place, self.row, self.value, self.shape[::-1])
+
+    def __mul__(self, other: SparseRows) -> SparseRows:
+        """Entry by entry, with a matrix that has its entries in the same places."""
+        return SparseRows(self.row, self.place, self.value * other.value, self.shape)
+
+    def __matmul__(self, other: np.ndarray) -> np.ndarray:
+        columns = [np.bincount(self.row, self.value * c[self.place], self.shape[0]) for c in other.astype(float).T]
+        return np.column_stack(columns) if columns else np.zeros((self.shape[0], 0))
+
+    def sum(self, axis: int) -> np.ndarray:
+        """Of each column; ``axis`` is 0."""
+        return np.bincount(self.place, self.value, self.shape[1])
+
+
 @dataclass
 class Blocks:
     """Rows of vectors: ``table`` has for each block the places and values of its entries, labels and marks."""
@@ -40,9 +64,14 @@ def opened(batch: pa.RecordBatch, width: int, marks: int) -> Iterator[tuple[np.n
     """``(x, y, marks)`` of the blocks of an Arrow batch."""
     for row in batch.to_pylist():
         y = np.frombuffer(row["y"])
-        x = np.zeros(len(y) * width)
-        x[np.frombuffer(row["at"], np.int64)] = np.frombuffer(row["value"])
-        yield x.reshape(len(y), width), y, np.frombuffer(row["marks"], np.int32).reshape(len(y), marks)
+        at, value = np.frombuffer(row["at"], np.int64), np.frombuffer(row["value"])
+        if width > FULL_WIDTH:
+            x = SparseRows(at // width, at % width, value, (len(y), width))
+        else:
+            x = np.zeros(len(y) * width)
+            x[at] = value
+            x = x.reshape(len(y), width)
+        yield x, y, np.frombuffer(row["marks"], np.int32).reshape(len(y), marks)
 
 
 def entries(vectors: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,14 +91,30 @@ def feature_blocks(df: DataFrame, marks: Sequence[str], features: str = "feature
     A null mark is -1. Vectors may be sparse or dense; a table without rows has width 0.
     """
     first = df.select(features).first()
-    width = first[0].size if first else 0
-    marks, step = list(marks), max(1, BLOCK_NUMBERS // max(width, 1))
+    return _blocks(df, F.unwrap_udt(features), entries, first[0].size if first else 0, marks, y)
+
+
+def sparse_blocks(df: DataFrame, places: str, values: str, width: int, marks: Sequence[str] = (), y: str = "y") -> Blocks:
+    """The same of vectors that are arrays of places and of values."""
+
+    def listed(vectors: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = vectors.field("values").value_lengths().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(vectors)), sizes)
+        return row, vectors.field("places").flatten().to_numpy(), vectors.field("values").flatten().to_numpy()
+
+    vector = F.struct(F.col(places).cast("array<long>").alias("places"), F.col(values).cast("array<double>").alias("values"))
+    return _blocks(df, vector, listed, width, marks, y)
+
+
+def _blocks(df: DataFrame, vector: Column, read: Callable, width: int, marks: Sequence[str], y: str) -> Blocks:
+    marks = list(marks)
+    step = SPARSE_ROWS if width > FULL_WIDTH else max(1, BLOCK_NUMBERS // max(width, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), step):
                 part = batch.slice(start, step)
-                row, place, value = entries(part["v"])
+                row, place, value = read(part["v"])
                 kept = [part[m].fill_null(-1).to_numpy() for m in marks]
                 columns = [
                     (row * width + place).astype(np.int64),
@@ -79,7 +124,7 @@ def feature_blocks(df: DataFrame, marks: Sequence[str], features: str = "feature
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["at", "value", "y", "marks"])
 
-    rows = df.select(F.unwrap_udt(features).alias("v"), F.col(y).cast("double").alias("y"), *[F.col(m).cast("int").alias(m) for m in marks])
+    rows = df.select(vector.alias("v"), F.col(y).cast("double").alias("y"), *[F.col(m).cast("int").alias(m) for m in marks])
     return Blocks(checkpointed(rows.mapInArrow(run, "at binary, value binary, y binary, marks binary")), width, len(marks))
 
 

@@ -8,14 +8,18 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelwise.functions.columns import all_present
 from parcelwise.functions.small import checkpointed
-from parcelwise.operators.features import Design, SparseScaler, category_levels
+from parcelwise.operators.features import Design, SparseScaler, category_levels, sparse_design
 from parcelwise.operators.knn import knn_scores
+from parcelwise.operators.many_fits import logistic_fits, sparse_blocks, standard_scale
 from parcelwise.operators.split import stratified_split
 
 log = logging.getLogger(__name__)
@@ -159,6 +163,35 @@ def coefficient_table(spark, names: Sequence[str], model) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, coefficient double")
 
 
+def wide_coefficients(
+    df: DataFrame,
+    numeric: Sequence[str],
+    categories: Sequence[str] = CATEGORIES,
+    interactions: Sequence[str] = INTERACTIONS,
+    label: str = "late_risk",
+    c: float = 1.0,
+) -> DataFrame:
+    """``(feature, coefficient)`` of a logistic regression on any number of dummies, largest first; see :func:`sparse_design`.
+
+    Numbers are standardised and dummies scaled over all rows, as for :func:`coefficient_table`. The driver holds the
+    weights. Rare levels that foretell the label have ever larger weights, which takes many passes; a lower ``c`` bounds
+    them.
+    """
+    rows, names, width, numbers = sparse_design(df.where(all_present(label)), numeric, categories, interactions, [label])
+    blocks = sparse_blocks(rows, "places", "values", width, y=label)
+    scale = standard_scale(blocks, _every_row, 1, numbers)
+    fitted = logistic_fits(blocks, _every_row, 1, c, scale)
+    # of the scaled entries; one without spread has a weight of 0
+    factor = scale.factor[:, 0]
+    weights = np.divide(fitted.weights[:, 0], factor, out=np.zeros(width), where=factor > 0)
+    table = df.sparkSession.createDataFrame(pd.DataFrame({"place": np.arange(width), "coefficient": weights}), "place long, coefficient double")
+    return names.join(table, "place").select("feature", "coefficient").orderBy(F.desc("coefficient"), "feature")
+
+
+def _every_row(marks: np.ndarray) -> np.ndarray:
+    return np.ones((len(marks), 1), bool)
+
+
 def importance_table(spark, names: Sequence[str], model) -> DataFrame:
     """``(feature, importance)``, largest first; importances sum to 1."""
     rows = sorted(zip(names, (float(v) for v in model.featureImportances.toArray())), key=lambda r: (-r[1], r[0]))

@@ -117,3 +117,53 @@ def test_learning_curve_equals_separate_fits(spark):
             assert got[i]["validation_f1_mean"] == pytest.approx(held_f1.mean(), abs=2e-3)
             assert got[i]["validation_f1_std"] == pytest.approx(held_f1.std(), abs=2e-3)
         rows.unpersist()
+
+
+def test_sparse_rows_multiply_as_dense_ones(table, monkeypatch):
+    """The same fits from blocks that are taken for wide ones."""
+    x, y, marks, df = table
+    blocks = many_fits.feature_blocks(df, ["group"])
+    dense = many_fits.logistic_fits(blocks, member, FITS, scale=many_fits.standard_scale(blocks, member, FITS, 2))
+    monkeypatch.setattr(many_fits, "FULL_WIDTH", 3)
+    sparse = many_fits.logistic_fits(blocks, member, FITS, scale=many_fits.standard_scale(blocks, member, FITS, 2))
+    np.testing.assert_allclose(sparse.weights, dense.weights, atol=1e-3)
+    assert sparse.gradient.max() <= 1e-6
+    rng = np.random.default_rng(1)
+    m = rng.random((7, 5)) * (rng.random((7, 5)) < 0.4)
+    row, place = np.nonzero(m)
+    s, w, v = many_fits.SparseRows(row, place, m[row, place], m.shape), rng.random((5, 2)), rng.random((7, 3))
+    np.testing.assert_allclose(s @ w, m @ w)
+    np.testing.assert_allclose((s * s).T @ v, (m * m).T @ v)
+    np.testing.assert_allclose(s.sum(axis=0), m.sum(axis=0))
+
+
+def test_sparse_design_equals_the_dense_one(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from parcelwise.operators.features import Design, category_levels, sparse_design
+
+    rows = [(i, float(i % 7), None if i % 11 == 0 else i * 0.5, ["a", "b", "c", None][i % 4], f"l{i % 13}") for i in range(60)]
+    df = spark.createDataFrame(rows, "line_id long, u double, v double, f string, g string")
+    design = Design(["u", "v"], category_levels(df, ["f", "g"]), ["u", "v"], ["line_id"])
+    want = {r["line_id"]: r["x"] for r in design.apply(df).select("line_id", vector_to_array("raw").alias("x")).collect()}
+    got, names, width, numbers = sparse_design(df, ["u", "v"], ["f", "g"], ["u", "v"], ["line_id"])
+    assert (width, numbers) == (len(design.names), design.numbers)
+    assert [r["feature"] for r in names.orderBy("place").collect()] == design.names
+    for r in got.collect():
+        x = np.zeros(width)
+        x[r["places"]] = r["values"]
+        assert x.tolist() == want[r["line_id"]]
+
+
+def test_a_hundred_thousand_levels_fit_a_model(spark):
+    """A level in a thousand decides the label; its weights are the extreme ones."""
+    df = spark.range(300_000).select(
+        F.concat(F.lit("level"), F.pmod(F.col("id") * 7919, F.lit(100_000))).alias("c"),
+        F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("u"),
+    )
+    df = df.withColumn("late_risk", F.when(F.col("c").endswith("777"), 1).when(F.col("c").endswith("333"), 0).otherwise((F.col("u") > 500).cast("int")))
+    got = models.wide_coefficients(df, ["u"], ["c"], [], c=1e-4).toPandas()
+    assert len(got) == 100_000
+    weights = got.set_index("feature")["coefficient"]
+    ends = weights[weights.index.str.endswith("777")], weights[weights.index.str.endswith("333")]
+    assert ends[0].min() > 0 > ends[1].max() and weights["u"] > 0
