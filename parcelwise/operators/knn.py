@@ -24,7 +24,7 @@ from parcelwise.functions.small import checkpointed, localized
 GROUP_ROWS = 50_000  # of a group, about; a task holds one
 MAX_GROUPS = 4_000  # of the tree that deals rows out; larger tables have larger groups, which are cut by hash
 LEAF_ROWS = 256
-TURN_ROWS = 8_192  # queries that a task searches a group for
+TURN_ROWS = 2_048  # queries that a task searches a group for
 BLOCK_QUERIES = 64  # that go through a tree together
 SPLIT_ROWS = 512  # looked at to find a split
 SAMPLE_NUMBERS = 4_000_000  # entries of the sample that the driver holds
