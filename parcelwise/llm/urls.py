@@ -28,14 +28,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def candidates(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """Every rule that would fit: each end of the host that starts at a label, with each path start of a length in use.
+def candidates(host: Column, path: Column, labels: Sequence[int], lengths: Sequence[int]) -> Column:
+    """Every key that could fit: each end of the host with a number of labels in use, with each path start of a length in use.
 
-    Longest rules come first; of equally long ones, that with the longer host.
+    Longest keys come first; of equally long ones, that with the longer host. A host of many labels makes no more keys
+    than the list has numbers of labels.
     """
-    labels = F.split(host, r"\.")
-    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    starts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
+    size = F.size(F.split(host, r"\."))
+    ends = F.array_compact(F.array(*[F.when(size >= n, F.substring_index(host, ".", -n)) for n in labels], F.lit(None).cast("string")))
+    starts = F.filter(F.array(*[F.lit(n) for n in lengths], F.lit(None).cast("int")), lambda n: n <= F.length(path))
     pairs = F.flatten(F.transform(ends, lambda e: F.transform(starts, lambda n: F.struct((-F.length(e) - n).alias("size"), n.alias("n"), F.concat(e, F.substring(path, F.lit(1), n)).alias("rule")))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.array_sort(pairs), lambda p: p["rule"]))
 
@@ -167,8 +168,14 @@ def judge(
     """
     spark = pages.sparkSession
     lengths = sorted({len(path) for _, _, path in rules})
+    labels = sorted({host.count(".") + 1 for _, host, _ in rules})
+    listed_labels: list[int] = []
+    if listed is not None:  # as many rows as listed hosts have different numbers of labels
+        counts = listed.where("key is not null").select(F.size(F.split("key", r"\.")).alias("n")).distinct()
+        listed_labels = sorted(r["n"] for r in counts.collect())
     some = pages.select(pages[id].alias("page_id"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
-    some = some.withColumns({"rules": candidates(F.col("host"), F.col("path"), lengths), "hosts": candidates(F.col("host"), F.lit(""), [0])})
+    keys = {"rules": candidates(F.col("host"), F.col("path"), labels, lengths), "hosts": candidates(F.col("host"), F.lit(""), listed_labels, [0])}
+    some = some.withColumns(keys)
     possible = some.select(F.explode("rules").alias("key"))
     by_verdict = {v: [(h + p,) for x, h, p in rules if x == v] for v in ("block", "allow")}
     found = {v: cascade(spark.createDataFrame(keys, "key string"), possible) for v, keys in by_verdict.items()}
