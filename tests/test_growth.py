@@ -21,6 +21,15 @@ def order_rows(spark, n=1_500):
     return lines.select(F.concat(F.lit("k"), "id").alias("line_id"), *made, "order_ts", "late_risk")
 
 
+@pytest.mark.parametrize("name", ["lr_residual_histogram", "lr_residual_kde"])
+def test_residuals_fit_their_own_model_only(spark, monkeypatch, name):
+    asked = []
+    scores = spark.createDataFrame([(f"k{i}", "Logistic Regression", i % 2, i / 20) for i in range(20)], "line_id string, model string, y int, p double")
+    monkeypatch.setattr(catalogue, "_fitted_scores", lambda df, *names: asked.append(names) or scores)
+    assert catalogue.ANALYSES[name].run(None).count() > 0
+    assert asked == [("Logistic Regression",)]
+
+
 def test_the_sigmoid_net_takes_the_steps_of_the_built_in_one(spark):
     rng = np.random.default_rng(71)
     x = rng.normal(size=(256, 5))
