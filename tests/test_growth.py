@@ -56,3 +56,18 @@ def test_the_sigmoid_nets_gradient_equals_differences():
         step[i] = 1e-6
         up, down = (net.like(net.flat + s * step).loss_and_gradient(x, y)[0] for s in (1, -1))
         assert gradient[i] == pytest.approx((up - down) / 2e-6, abs=1e-4)
+
+
+@pytest.mark.parametrize("part", [3, 1 << 15])
+def test_pieces_of_the_exact_tree_follow_one_another(spark, monkeypatch, part):
+    rng = np.random.default_rng(73)
+    x = np.c_[rng.normal(size=250), rng.integers(0, 40, 250), rng.random(250) < 0.5, np.repeat(rng.normal(size=5), 50)]
+    y = (x[:, 0] + x[:, 1] / 20 + rng.normal(size=250) > 1).astype(int)
+    monkeypatch.setattr(exact_tree, "PART_VALUES", part)
+    monkeypatch.setattr(exact_tree, "PIECE_VALUES", 20)
+    monkeypatch.setattr(exact_tree, "HELD_COUNTS", 200)
+    blocks = many_fits.feature_blocks(frame(spark, x, y), [], "raw")
+    assert len(exact_tree.feature_cuts(blocks)[0]) > 5
+    got, want = table_of(exact_tree.exact_tree(blocks, depth=3)), plain(x, y, 3)
+    assert [r[:6] for r in got] == [r[:6] for r in want]
+    np.testing.assert_allclose([r[6] for r in got], [r[6] for r in want], atol=1e-9)
