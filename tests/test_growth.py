@@ -58,6 +58,14 @@ def test_the_sigmoid_nets_gradient_equals_differences():
         assert gradient[i] == pytest.approx((up - down) / 2e-6, abs=1e-4)
 
 
+def test_blocks_stay_small(spark):
+    """Parquet buffers a hundred of them at least."""
+    rows = spark.range(3_000).select(F.array_repeat(F.col("id") + 1.0, 100).alias("x"), F.sequence(F.lit(0), F.lit(99)).alias("places"), F.lit(1.0).alias("y"))
+    blocks = many_fits.sparse_blocks(rows.coalesce(1), "places", "x", 100)
+    sizes = blocks.table.agg(F.max(F.octet_length("value")), F.max(F.octet_length("at")), F.sum(F.octet_length("y"))).first()
+    assert sizes[0] <= 1 << 20 and sizes[1] <= 1 << 19 and sizes[2] == 8 * 3_000
+
+
 @pytest.mark.parametrize("part", [3, 1 << 15])
 def test_pieces_of_the_exact_tree_follow_one_another(spark, monkeypatch, part):
     rng = np.random.default_rng(73)
