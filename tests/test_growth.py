@@ -66,6 +66,13 @@ def test_blocks_stay_small(spark):
     assert sizes[0] <= 1 << 20 and sizes[1] <= 1 << 19 and sizes[2] == 8 * 3_000
 
 
+def test_a_task_reads_a_bounded_number_of_vectors(spark, monkeypatch):
+    monkeypatch.setattr(models, "MOST_ROWS", 100)
+    with catalogue.preparing(order_rows(spark)) as data:
+        assert data.train.rdd.getNumPartitions() >= 15
+        assert data.train.count() + data.test.count() == 1_500
+
+
 @pytest.mark.parametrize("part", [3, 1 << 15])
 def test_pieces_of_the_exact_tree_follow_one_another(spark, monkeypatch, part):
     rng = np.random.default_rng(73)
