@@ -73,6 +73,20 @@ def test_a_task_reads_a_bounded_number_of_vectors(spark, monkeypatch):
         assert data.train.count() + data.test.count() == 1_500
 
 
+def test_a_category_is_one_column_of_the_design(spark, monkeypatch):
+    asked, made = [], features.VectorAssembler
+    monkeypatch.setattr(features, "VectorAssembler", lambda inputCols, outputCol: asked.append(inputCols) or made(inputCols=inputCols, outputCol=outputCol))
+    rows = [(0, 1.0, "a", "x", "only"), (1, None, "b", None, "only"), (2, 3.0, "c", "y", None), (3, 0.0, None, "z", "only"), (4, 2.0, "new", "x", "only")]
+    df = spark.createDataFrame(rows, "line_id long, u double, f string, g string, h string")
+    design = features.Design(["u"], {"f": ["a", "b", "c"], "g": ["x", "y", "z"], "h": ["only"]}, [], ["line_id"])
+    got = design.apply(df)
+    vectors = {r["line_id"]: r["raw"].toArray().tolist() for r in got.collect()}
+    assert design.names == ["u", "f_b", "f_c", "g_y", "g_z"]
+    assert vectors == {0: [1, 0, 0, 0, 0], 1: [0, 1, 0, 0, 0], 2: [3, 0, 1, 1, 0], 3: [0, 0, 0, 0, 1], 4: [2, 0, 0, 0, 0]}
+    assert len(asked[0]) == 3  # the number and the categories with dummies
+    assert "ml_attr" not in got.schema["raw"].metadata  # trees would split dummies as categories
+
+
 @pytest.mark.parametrize("part", [3, 1 << 15])
 def test_pieces_of_the_exact_tree_follow_one_another(spark, monkeypatch, part):
     rng = np.random.default_rng(73)
