@@ -100,3 +100,12 @@ def test_pieces_of_the_exact_tree_follow_one_another(spark, monkeypatch, part):
     got, want = table_of(exact_tree.exact_tree(blocks, depth=3)), plain(x, y, 3)
     assert [r[:6] for r in got] == [r[:6] for r in want]
     np.testing.assert_allclose([r[6] for r in got], [r[6] for r in want], atol=1e-9)
+
+
+def test_permuted_vectors_are_shuffled_once(spark):
+    df = spark.createDataFrame([(f"k{i}", Vectors.sparse(3, [(0, float(i)), (2, 1.0)]), float(i % 2)) for i in range(40)], ["line_id", "features", "y"])
+    got = diagnostics.permutation_repeats(df, list("abc"), [1.0, 2.0, 3.0], -20.0, repeats=2, bucket_rows=5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan  # of vectors, for the ends of buckets
+    assert {(r["feature"], r["repeat"]) for r in got.collect()} == {(f, r) for f in "abc" for r in (0, 1)}
+    assert diagnostics.permutation_repeats(df.limit(0), list("abc"), [1.0, 2.0, 3.0], 0.0).count() == 0
