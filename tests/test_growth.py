@@ -109,3 +109,11 @@ def test_permuted_vectors_are_shuffled_once(spark):
     assert "SortAggregate" not in plan  # of vectors, for the ends of buckets
     assert {(r["feature"], r["repeat"]) for r in got.collect()} == {(f, r) for f in "abc" for r in (0, 1)}
     assert diagnostics.permutation_repeats(df.limit(0), list("abc"), [1.0, 2.0, 3.0], 0.0).count() == 0
+
+
+def test_a_violin_reads_its_rows_once(spark, monkeypatch):
+    kept, made = [], density.checkpointed
+    monkeypatch.setattr(density, "checkpointed", lambda df: kept.append(df.columns) or made(df))
+    df = spark.range(60).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"), F.lit("other").alias("o"))
+    assert density.violin(df, "v", "k", grid=5).count() == 10
+    assert kept == [["k", "v"]]
