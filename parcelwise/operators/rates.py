@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from parcelwise.functions.columns import all_present, col
 
 LABEL = "late_risk"
-BOOTSTRAP_ROWS = 2_048  # whose weights in all draws are one matrix
+BOOTSTRAP_ROWS = 64  # whose weights in all draws are one matrix, which stays in the cache
 # fixed values: multipliers of the public hash function XXH64
 XXH64_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
@@ -144,10 +144,31 @@ def hashed_onwards(seed: np.ndarray, number: np.ndarray) -> np.ndarray:
     """XXH64 of 32-bit integers with 64-bit seeds, as signed 64-bit integers; both arrays are broadcast."""
     p1, p2, p3, p5 = (np.uint64(p) for p in XXH64_PRIMES)
     h = (seed.astype(np.int64).view(np.uint64) + (p5 + np.uint64(4))) ^ (number.astype(np.uint32).astype(np.uint64) * p1)
-    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return (h ^ (h >> np.uint64(32))).view(np.int64)
+    high = h >> np.uint64(41)
+    h <<= np.uint64(23)
+    h |= high
+    h *= p2
+    h += p3
+    h ^= h >> np.uint64(33)
+    h *= p2
+    h ^= h >> np.uint64(29)
+    h *= p3
+    h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def poisson_weights(hashes: np.ndarray, steps: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """How many of ``steps`` a hash, as a number from 0 to 1, reaches; ``table`` is :func:`weight_table` of the steps."""
+    weight = table[(hashes >> 48) + (1 << 15)]
+    open_ = np.nonzero(weight < 0)
+    weight[open_] = np.searchsorted(steps, hashes[open_] / 2.0**64 + 0.5, "right")
+    return weight
+
+
+def weight_table(steps: np.ndarray) -> np.ndarray:
+    """The weight that all hashes with the same first 16 bits have, or -1 where a step lies between them."""
+    ends = np.searchsorted(steps, np.arange((1 << 16) + 1) / (1 << 16), "right")
+    return np.where(ends[:-1] == ends[1:], ends[:-1], -1).astype(np.int8)
 
 
 def bootstrap_means(
@@ -169,7 +190,7 @@ def bootstrap_means(
     kind = rows.schema["_dim"].dataType.simpleString()
     # P(weight <= w) for w = 0, 1, ...; beyond the last the chance is below 1e-15
     steps = np.cumsum([math.exp(-1) / math.factorial(w) for w in range(18)])
-    numbers = np.arange(draws)
+    numbers, table = np.arange(draws), weight_table(steps)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict = {}
@@ -181,13 +202,16 @@ def bootstrap_means(
             x, hashes = batch["_x"].to_numpy(), batch["_h"].to_numpy()
             for at in range(0, len(batch), BOOTSTRAP_ROWS):
                 part = slice(at, at + BOOTSTRAP_ROWS)
-                u = hashed_onwards(hashes[part, None], numbers[None]) / 2.0**64 + 0.5
-                weight = np.searchsorted(steps, u, "right").astype(float)
-                for p in np.unique(place[part]):
-                    own = place[part] == p
+                weight = poisson_weights(hashed_onwards(hashes[part, None], numbers[None]), steps, table)
+                found, own = np.unique(place[part], return_inverse=True)
+                # of each key the rows and their measures
+                shares = np.zeros((len(found), 2, len(own)))
+                rows_of = np.arange(len(own))
+                shares[own, 0, rows_of], shares[own, 1, rows_of] = 1, x[part]
+                added = (shares.reshape(-1, len(own)) @ weight.astype(float)).reshape(len(found), 2, draws)
+                for p, more in zip(found, added):
                     total = totals.setdefault(values[p], np.zeros((2, draws)))
-                    total[0] += weight[own].sum(axis=0)
-                    total[1] += x[part][own] @ weight[own]
+                    total += more
         for value, (w, wx) in totals.items():
             some = np.flatnonzero(w > 0)
             columns = [pa.array([value] * len(some), type), pa.array(some, pa.int64()), pa.array(w[some]), pa.array(wx[some])]

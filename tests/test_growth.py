@@ -117,3 +117,13 @@ def test_a_violin_reads_its_rows_once(spark, monkeypatch):
     df = spark.range(60).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"), F.lit("other").alias("o"))
     assert density.violin(df, "v", "k", grid=5).count() == 10
     assert kept == [["k", "v"]]
+
+
+def test_weights_by_table_equal_those_by_search():
+    steps = np.cumsum(np.exp(-1) / np.cumprod(np.r_[1, np.arange(1, 18)]))
+    rng = np.random.default_rng(74)
+    near = ((steps[:-1, None] - 0.5) * 2.0**64 + np.arange(-3, 4) * 2048.0).clip(-(2.0**63), 2.0**63 - 2048).astype(np.int64).ravel()
+    ends = np.array([-(2**63), -1, 0, 1, 2**63 - 1])
+    hashes = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 100_000), near, ends, (np.arange(-(1 << 15), 1 << 15) << 48)])
+    want = np.searchsorted(steps, hashes / 2.0**64 + 0.5, "right")
+    assert (rates.poisson_weights(hashes, steps, rates.weight_table(steps)) == want).all()
