@@ -127,9 +127,7 @@ def parsed(page: str) -> Node:
         for k in range(len(open_) - 1, 0, -1):
             if open_[k].tag in kinds:
                 del open_[k:]
-                close(kinds, holders)
-                return
-            if open_[k].tag in holders:
+            elif open_[k].tag in holders:
                 return
 
     while m := TAG.search(page, at):

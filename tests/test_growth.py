@@ -127,3 +127,17 @@ def test_weights_by_table_equal_those_by_search():
     hashes = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 100_000), near, ends, (np.arange(-(1 << 15), 1 << 15) << 48)])
     want = np.searchsorted(steps, hashes / 2.0**64 + 0.5, "right")
     assert (rates.poisson_weights(hashes, steps, rates.weight_table(steps)) == want).all()
+
+
+def test_a_parsed_page_goes_with_its_last_use():
+    """Trees that only the collector frees pile up in the workers."""
+    page = "<html><body><div><p>one<p>two <table><tr><td>a<td>b</table></div><ul><li>x<li>y</ul></body></html>"
+    extraction.parsed(page)
+    gc.collect()
+    gc.disable()
+    try:
+        for _ in range(5):
+            extraction.parsed(page)
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
