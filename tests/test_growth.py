@@ -141,3 +141,26 @@ def test_a_parsed_page_goes_with_its_last_use():
         assert gc.collect() == 0
     finally:
         gc.enable()
+
+
+def test_a_pass_takes_one_row_from_each_task(spark, monkeypatch):
+    df = spark.createDataFrame([(Vectors.dense([float(i), 1.0]), float(i % 2)) for i in range(50)], ["features", "y"]).repartition(3)
+    blocks = many_fits.feature_blocks(df, [])
+    part = lambda x, y, marks: np.array([[x[:, 0].sum(), x[:, 1].sum()], [y.sum(), len(y)]])
+    with monkeypatch.context() as m:
+        m.setattr(many_fits, "F", None)  # no shuffle adds them
+        got = many_fits.added(blocks, part, (2, 2))
+    assert got.tolist() == [[1225, 50], [25, 50]]
+    monkeypatch.setattr(many_fits, "DRIVER_NUMBERS", 0)
+    assert many_fits.added(blocks, part, (2, 2)).tolist() == got.tolist()
+
+
+def test_the_sigmoid_net_takes_blocks_in_turns(spark, monkeypatch):
+    rng = np.random.default_rng(75)
+    x = rng.normal(size=(90, 4))
+    df = spark.createDataFrame([(Vectors.dense(v), float(v[0] * v[1] > 0)) for v in x], ["features", "y"]).coalesce(2)
+    want = models.fitted_net(df, 4, 6)
+    monkeypatch.setattr(sigmoid_net, "TURN_ROWS", 7)
+    got = models.fitted_net(df, 4, 6)
+    np.testing.assert_allclose(got.losses, want.losses, rtol=1e-9)
+    assert len(want.losses) == 7
