@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_exact_tree import frame, plain, table_of
 
 from parcelwise.llm import extraction
-from parcelwise.operators import density, diagnostics, exact_tree, features, many_fits, models, rates, sigmoid_net
+from parcelwise.operators import density, diagnostics, exact_tree, features, knn, many_fits, models, rates, sigmoid_net
 from parcelwise.plans import catalogue
 
 
@@ -164,3 +164,21 @@ def test_the_sigmoid_net_takes_blocks_in_turns(spark, monkeypatch):
     got = models.fitted_net(df, 4, 6)
     np.testing.assert_allclose(got.losses, want.losses, rtol=1e-9)
     assert len(want.losses) == 7
+
+
+@pytest.mark.parametrize("found", [1, 16])
+def test_a_reach_spares_points_but_no_neighbour(monkeypatch, found):
+    monkeypatch.setattr(knn, "FOUND", found)
+    rng = np.random.default_rng(76)
+    x = np.c_[rng.normal(size=(900, 2)), rng.integers(0, 2, (900, 3))]
+    x[600:] = x[:300]  # ties
+    q, rank, k = rng.normal(size=(70, 5)), rng.permutation(900), 6
+    d = np.round(((q[:, None] - x[None]) ** 2).sum(axis=2), 9)
+    want = [(i, int(j), d[i, j]) for i in range(70) for j in np.lexsort((rank, d[i]))[:k]]
+    whole = knn.BoxTree(x, 16)
+    assert [*zip(*(c.tolist() for c in whole.nearest(q, rank, k)))] == want
+    reach = np.where(np.arange(70) % 7 == 0, np.inf, np.sort(d, axis=1)[:, 2])
+    tree = knn.BoxTree(x, 16)
+    got = [r for r in zip(*(c.tolist() for c in tree.nearest(q, rank, k, reach))) if r[2] <= reach[r[0]]]
+    assert got == [r for r in want if r[2] <= reach[r[0]]]
+    assert tree.compared < whole.compared
