@@ -73,6 +73,44 @@ def test_a_task_reads_a_bounded_number_of_vectors(spark, monkeypatch):
         assert data.train.count() + data.test.count() == 1_500
 
 
+def test_pieces_of_vectors_fill_whole_turns_of_the_cores(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(models, "MOST_ROWS", 100)
+    df = spark.range(100 * cores + 1).repartition(cores)
+    dealt = models.in_pieces(df, 100 * cores + 1, "id")
+    assert dealt.rdd.getNumPartitions() == 2 * cores and dealt.count() == 100 * cores + 1
+    assert models.in_pieces(df.coalesce(1), 100, "id").rdd.getNumPartitions() == 1
+
+
+def test_held_blocks_give_the_same_sums(spark, monkeypatch):
+    rng = np.random.default_rng(74)
+    vectors = [(i, Vectors.dense(v), float(i % 3 == 0)) for i, v in enumerate(rng.normal(size=(700, 4)))]
+    rows = spark.createDataFrame(vectors, ["line_id", "features", "y"]).repartition(3, "line_id")
+    blocks = many_fits.feature_blocks(rows.withColumn("m", F.col("line_id") % 5), ["m"])
+    part = lambda x, y, marks: x.T @ np.column_stack([y, marks[:, 0], np.ones(len(y))])
+    cached = spark.sparkContext._jsc.getPersistentRDDs
+    before = cached().size()
+    with many_fits.held(blocks) as kept:
+        got = [many_fits.added(kept, part, (4, 3)) for _ in range(2)]
+        assert cached().size() == before + 1
+        asked = []
+        whole = many_fits.added
+        monkeypatch.setattr(sigmoid_net, "added", lambda b, *rest: asked.append(b.kept) or whole(b, *rest))
+        net = sigmoid_net.SigmoidNet([(np.ones((4, 2)) * [0.1, -0.2], np.zeros(2))])
+        losses = sigmoid_net.fit_net(blocks, net, 3).losses
+    assert cached().size() == before
+    assert len(losses) == 4 and asked and None not in asked and len({id(k) for k in asked}) == 1
+    for sums in got:
+        np.testing.assert_array_equal(sums, many_fits.added(blocks, part, (4, 3)))
+    # too many numbers for the driver: added by a shuffle
+    monkeypatch.setattr(many_fits, "DRIVER_NUMBERS", 1)
+    with many_fits.held(blocks) as kept:
+        np.testing.assert_allclose(many_fits.added(kept, part, (4, 3)), got[0], rtol=1e-12)
+    none = many_fits.feature_blocks(rows.limit(0), [])
+    with many_fits.held(none) as kept:
+        assert many_fits.added(kept, lambda x, y, marks: x, (1, 1)).tolist() == [[0.0]]
+
+
 def test_a_category_is_one_column_of_the_design(spark, monkeypatch):
     asked, made = [], features.VectorAssembler
     monkeypatch.setattr(features, "VectorAssembler", lambda inputCols, outputCol: asked.append(inputCols) or made(inputCols=inputCols, outputCol=outputCol))
