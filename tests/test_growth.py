@@ -1,6 +1,7 @@
 """What keeps time, memory and shuffles of the fits in proportion to the rows, with the same results."""
 
 import gc
+from threading import Barrier
 
 import numpy as np
 import pytest
@@ -58,6 +59,38 @@ def test_the_sigmoid_nets_gradient_equals_differences():
         assert gradient[i] == pytest.approx((up - down) / 2e-6, abs=1e-4)
 
 
+def test_the_sigmoid_net_uses_its_arrays_again():
+    rng = np.random.default_rng(75)
+    net = sigmoid_net.SigmoidNet([(rng.normal(size=s), rng.normal(size=s[1])) for s in ((4, 5), (5, 9), (9, 3), (3, 2))])
+    room, held = sigmoid_net.Room(), None
+    for n in (40, 7, 0, 40):
+        x, y = rng.normal(size=(n, 4)), rng.integers(0, 2, n).astype(float)
+        loss, gradient = net.loss_and_gradient(x, y)
+        again = net.loss_and_gradient(x, y, room)
+        assert again[0] == loss
+        np.testing.assert_array_equal(again[1], gradient)
+        held = held or {k: id(v) for k, v in room.arrays.items()}
+        if not n:
+            continue
+        row, place = np.nonzero(x)
+        sparse = net.loss_and_gradient(many_fits.SparseRows(row, place, x[row, place], x.shape), y, room)
+        assert sparse[0] == pytest.approx(loss)
+        np.testing.assert_allclose(sparse[1], gradient, rtol=1e-9, atol=1e-12)
+    assert len(held) > 5 and held == {k: id(v) for k, v in room.arrays.items()}
+
+
+def test_models_are_fitted_beside_one_another(spark, monkeypatch):
+    """Each of the two waits until the other one has begun."""
+    both = Barrier(2, timeout=60)
+    neighbours, net = models.knn_scores, models.fitted_net
+    monkeypatch.setattr(models, "knn_scores", lambda *a, **k: both.wait() >= 0 and neighbours(*a, **k))
+    monkeypatch.setattr(models, "fitted_net", lambda train, width, steps: both.wait() >= 0 and net(train, width, 2))
+    with catalogue.preparing(order_rows(spark, 300)) as data:
+        names = ["Decision Tree", "KNN", "Artificial Neural Network"]
+        scores = models.evaluate_models(data, names)
+        assert {r["model"]: r["count"] for r in scores.groupBy("model").count().collect()} == dict.fromkeys(names, data.test.count())
+
+
 def test_blocks_stay_small(spark):
     """Parquet buffers a hundred of them at least."""
     rows = spark.range(3_000).select(F.array_repeat(F.col("id") + 1.0, 100).alias("x"), F.sequence(F.lit(0), F.lit(99)).alias("places"), F.lit(1.0).alias("y"))
