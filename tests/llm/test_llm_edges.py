@@ -282,6 +282,44 @@ def test_seeds_are_searched_for_in_all_shards(spark, monkeypatch):
     assert lengths == {r[0]: r[4] for r in got} == {r[0]: r[4] for r in want}
 
 
+def test_a_batch_of_seeds_finds_what_each_finds_alone(monkeypatch):
+    """Frequent and rare terms, copies, more ties than are picked at once, a need beyond all documents."""
+    rng = np.random.default_rng(5)
+    documents = [rng.zipf(1.3, rng.integers(1, 300)).clip(0, 500).astype("<u2") for _ in range(150)]
+    documents += documents[:40] + [documents[3]] * 50
+    sizes = np.array([len(x) for x in documents])
+    index = packing.Index(documents, np.log1p(rng.random(501) * 50).astype(np.float32), sizes.mean())
+    sets = [*map(np.unique, documents), np.array([700, 800])]  # the last has no known term
+    needs = np.append(rng.integers(1, 3_000, len(documents) - 1), [sizes.sum() + 1, 50])
+    monkeypatch.setattr(packing, "SCORED", 5_000)
+    seeds = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    got = {}
+    for seed, document, score in index.nearest(np.concatenate(sets).astype(np.int64), seeds, needs, sizes):
+        for i, *pair in zip(seed, document, score):
+            got.setdefault(i, []).append(tuple(pair))
+    for i in range(len(sets)):
+        score = index.neighbours(i) if i < len(documents) else np.zeros(len(documents))
+        best = np.argsort(-score, kind="stable")
+        best = best[: np.searchsorted(np.cumsum(sizes[best]), needs[i]) + 1]
+        assert [d for d, _ in got[i]] == best.tolist()
+        assert [s for _, s in got[i]] == pytest.approx(score[best])
+
+
+def test_rounds_of_searches_shuffle_no_documents(spark, monkeypatch):
+    """Pieces stay the same whatever an index holds, and documents are dealt once, not in every round."""
+    frame = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 37}" for k in range(5 + i))) for i in range(60)], "doc_id long, text string")
+    read = lambda: sorted(map(tuple, packing.pack(frame, BYTES, window=128).select("doc_id", "start", "length", "sequence_id", "offset").collect()))
+    monkeypatch.setattr(packing, "WINDOWS", 3)
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 2_000)
+    monkeypatch.setattr(packing, "CHAINS", 4)
+    dealt, whole = [], packing.term_counts
+    monkeypatch.setattr(packing, "term_counts", lambda *a: dealt.append(a) or whole(*a))
+    want = read()
+    assert len(dealt) == 1 and {r[0] for r in want} == set(range(60))
+    monkeypatch.setattr(packing, "INDEXED_TOKENS", 300)
+    assert read() == want
+
+
 def test_quality_of_odd_texts(docs, none):
     got = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
     assert [got[i]["n_words"] for i in (1, 2, 3, 4, 6)] == [0, 0, 0, 1, 60_000]
