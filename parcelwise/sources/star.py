@@ -122,16 +122,19 @@ def order_lines(spark: SparkSession, path: str, columns: Iterable[str] | None =
         return spark.read.parquet(f"{path}/{name}.parquet")
 
     df = dealt_out(table("lineitem"), "l_orderkey")
-    if "orders" in needed:
-        df = df.join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    if "customer" in needed:
-        df = df.join(table("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    if "nation" in needed:
-        df = df.join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    if "region" in needed:
-        df = df.join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    # before the orders: lines go through a shuffle with each large table, so the widest one comes last
     if "part" in needed:
         df = df.join(table("part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    if "orders" in needed:
+        # an order's customer is found once, not for each of its lines
+        orders = table("orders")
+        if "customer" in needed:
+            orders = orders.join(table("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+        if "nation" in needed:
+            orders = orders.join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        if "region" in needed:
+            orders = orders.join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+        df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     if "supplier" in needed:
         df = df.join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
     if "s_nation" in needed:
